@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfold.llm import exact_dedup, pii, secrets, sentencepiece_codec, sharding
+from lanternfold.llm import exact_dedup, langid, pii, secrets, sentencepiece_codec, sharding, toxicity
 from lanternfold.llm.common import scratch, table
 
 
@@ -24,6 +24,17 @@ def op1_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(ledger.by_path())
 
 
+def held_out() -> Column:
+    """Whether a document is kept from training: crc32 of its id as text leaves 1 by 3."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def op3_ftrl_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
+    model = langid.train(docs.where("not held_out"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model)
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -33,6 +44,14 @@ def op6_information_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_digest(pii.personal_data(table(spark, sf_dir, "documents")))
 
 
+def op7_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out().alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    model = toxicity.train(docs.where("not held_out"), labels)
+    scored = toxicity.score_documents(docs, model)
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op8_distinct_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_codec.encode_documents(docs, piece_model(), keep_ids=False)
@@ -53,7 +72,7 @@ FROM h
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_blob_ledger, op4_hilbert_shards, op6_information_sanitisation, op8_distinct_chunks, op9_progressive_refinement)
+    found = (op1_blob_ledger, op3_ftrl_ngrams, op4_hilbert_shards, op6_information_sanitisation, op7_compression_distance, op8_distinct_chunks, op9_progressive_refinement)
     return {f.__name__: f for f in found}
 
 
