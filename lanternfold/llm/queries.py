@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfold.llm import exact_dedup, langid, pii, secrets, sentencepiece_codec, sharding, toxicity
+from lanternfold.llm import exact_dedup, jaccard_join, langid, pii, secrets, sentencepiece_codec, sharding, toxicity
 from lanternfold.llm.common import scratch, table
 
 
@@ -40,6 +40,11 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_parity_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op6_information_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_digest(pii.personal_data(table(spark, sf_dir, "documents")))
 
@@ -72,7 +77,7 @@ FROM h
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_blob_ledger, op3_ftrl_ngrams, op4_hilbert_shards, op6_information_sanitisation, op7_compression_distance, op8_distinct_chunks, op9_progressive_refinement)
+    found = (op1_blob_ledger, op3_ftrl_ngrams, op4_hilbert_shards, op5_parity_sketches, op6_information_sanitisation, op7_compression_distance, op8_distinct_chunks, op9_progressive_refinement)
     return {f.__name__: f for f in found}
 
 
