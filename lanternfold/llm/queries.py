@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfold.llm import exact_dedup, jaccard_join, langid, pii, secrets, sentencepiece_codec, sharding, toxicity
+from lanternfold.llm import decontam, exact_dedup, jaccard_join, langid, pii, secrets, sentencepiece_codec, sharding, toxicity
 from lanternfold.llm.common import scratch, table
 
 
@@ -67,6 +67,11 @@ def op9_progressive_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "matched", "windows", "copied")
+
+
 OP9_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
 h AS (SELECT doc_id, sha256(norm) AS text_sha256 FROM t)
@@ -77,7 +82,7 @@ FROM h
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_blob_ledger, op3_ftrl_ngrams, op4_hilbert_shards, op5_parity_sketches, op6_information_sanitisation, op7_compression_distance, op8_distinct_chunks, op9_progressive_refinement)
+    found = (op1_blob_ledger, op3_ftrl_ngrams, op4_hilbert_shards, op5_parity_sketches, op6_information_sanitisation, op7_compression_distance, op8_distinct_chunks, op9_progressive_refinement, op10_template_windows)
     return {f.__name__: f for f in found}
 
 
