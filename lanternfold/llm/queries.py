@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfold.llm import decontam, exact_dedup, jaccard_join, langid, pii, secrets, sentencepiece_codec, sharding, toxicity
+from lanternfold.llm import decontam, exact_dedup, html_text, jaccard_join, langid, pii, secrets, sentencepiece_codec, sharding, toxicity
 from lanternfold.llm.common import scratch, table
 
 
@@ -24,6 +24,10 @@ def op1_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(ledger.by_path())
 
 
+def op2_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def held_out() -> Column:
     """Whether a document is kept from training: crc32 of its id as text leaves 1 by 3."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
@@ -59,7 +63,7 @@ def op7_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_distinct_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentencepiece_codec.encode_documents(docs, piece_model(), keep_ids=False)
+    return sentencepiece_codec.encode_documents(docs, piece_model())
 
 
 def op9_progressive_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +86,7 @@ FROM h
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_blob_ledger, op3_ftrl_ngrams, op4_hilbert_shards, op5_parity_sketches, op6_information_sanitisation, op7_compression_distance, op8_distinct_chunks, op9_progressive_refinement, op10_template_windows)
+    found = (op1_blob_ledger, op2_line_blocks, op3_ftrl_ngrams, op4_hilbert_shards, op5_parity_sketches, op6_information_sanitisation, op7_compression_distance, op8_distinct_chunks, op9_progressive_refinement, op10_template_windows)
     return {f.__name__: f for f in found}
 
 

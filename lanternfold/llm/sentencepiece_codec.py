@@ -44,8 +44,6 @@ class ChunkCodec:
         self.table: dict[str, list[int]] = {}
 
     def _segment(self, new: list[str]) -> None:
-        if len(self.table) > TABLE_CHUNKS:
-            self.table.clear()
         # the library adds one marker before each text; a chunk of blanks brings one of its own
         for chunk, ids in zip(new, self.sp.encode([c[1:] if c[0] == " " else c for c in new], num_threads=1), strict=True):
             self.table[chunk] = ids if chunk[0] == " " and len(chunk) > 1 else [self.mark_id] if chunk[0] == " " else ids[1:]
@@ -58,13 +56,12 @@ class ChunkCodec:
                 continue
             chunks = self.chunks.findall(" " + text.replace(MARK, " ")) if text else []
             table = self.table
-            if new := [c for c in dict.fromkeys(chunks) if c not in table]:
+            new = [c for c in dict.fromkeys(chunks) if c not in table]
+            if len(table) + len(new) > TABLE_CHUNKS:
+                table.clear()
+                new = list(dict.fromkeys(chunks))
+            if new:
                 self._segment(new)
-                if len(new) > len(self.table):
-                    raise AssertionError("the table lost chunks")
-                table = self.table
-                if missing := [c for c in dict.fromkeys(chunks) if c not in table]:  # the table started anew
-                    self._segment(missing)
             ids = self.begin.copy()
             for chunk in chunks:
                 ids += table[chunk]
@@ -74,11 +71,11 @@ class ChunkCodec:
         return self.sp.decode(ids)
 
 
-def encode_documents(docs: DataFrame, model_file: str, text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """``docs`` without the text, with n_tokens, ids_sha256, decoded_sha256 and, if ``keep_ids``, ids (array of int) and decoded."""
+def encode_documents(docs: DataFrame, model_file: str, text_col: str = "text", keep_ids: bool = False, keep_decoded: bool = False) -> DataFrame:
+    """``docs`` without the text, with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int) and decoded."""
     kept = [c for c in docs.columns if c != text_col]
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
-    fields += ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(["ids array<int>", "decoded string"] if keep_ids else [])]
+    fields += ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *["ids array<int>"] * keep_ids, *["decoded string"] * keep_decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -93,12 +90,16 @@ def encode_documents(docs: DataFrame, model_file: str, text_col: str = "text", k
                 decoded_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep_ids:
                     all_ids.append(np.asarray(ids, np.int32))
+                if keep_decoded:
                     all_decoded.append(decoded)
             columns = [batch.column(c) for c in kept] + [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             names = [*kept, "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_decoded, pa.string())]
-                names += ["ids", "decoded"]
+                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                names.append("ids")
+            if keep_decoded:
+                columns.append(pa.array(all_decoded, pa.string()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(*kept, whole_text(F.col(text_col)).alias("__text")).mapInArrow(run, ", ".join(fields))
