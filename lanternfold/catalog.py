@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lanternfold.plans import fusion_plans, text_plans
+from lanternfold.registry import Plan
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "flagship_role_channels"
+MODULES = (text_plans, fusion_plans)
 
-FLAGSHIP = ""
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Plan]:
+    return {name: plan for m in MODULES for name, plan in m.R.plans.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.R.sql.items()}
