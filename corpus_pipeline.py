@@ -17,8 +17,8 @@ from lanternfold.llm.queries import held_out, piece_model
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the threshold; the model is fitted on labelled documents of the stage's input."""
     model = toxicity.train(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
-    scored = toxicity.score_documents(docs, model, keep_text=True)
-    return scored.where(scored["score"] < toxicity.THRESHOLD).select(*docs.columns)
+    scored = toxicity.score_documents(docs, model, keep_text=True, out="__toxicity")
+    return scored.where(scored["__toxicity"] < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def reject_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

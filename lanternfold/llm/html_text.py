@@ -7,7 +7,8 @@ the dive are kept, widened to the ends of the element that holds the run, so tha
 heading next to the run is not cut. All runs that surge within the same holder are kept; nothing is kept outside it.
 
 Defined results: null, empty and text-free pages give an empty text; unclosed and stray tags are read as browsers do,
-roughly; rows that repeat give a row each; an empty table gives an empty result; other columns pass through untouched.
+roughly; rows that repeat give a row each; an empty table gives an empty result; other columns pass through untouched, but
+columns of the outputs' names are replaced.
 """
 
 from __future__ import annotations
@@ -303,7 +304,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without the html, with text and n_chars."""
-    kept = [c for c in pages.columns if c != html_col]
+    kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept] + ["text string", "n_chars long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

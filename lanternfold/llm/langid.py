@@ -7,7 +7,8 @@ frequencies cover all training documents; the weights come from a bounded sample
 each language, those with the least hash of the id.
 
 Defined results: ``und`` with score 0 if a text is null, empty or has no letter, or if nothing was there to learn from;
-rows that repeat give a row each; an empty table gives an empty result; other columns pass through untouched.
+rows that repeat give a row each; an empty table gives an empty result; other columns pass through
+untouched, but columns of the outputs' names are replaced.
 """
 
 from __future__ import annotations
@@ -112,6 +113,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], df: np.ndarray, total: i
     place = {x: k for k, x in enumerate(languages)}
     k, d = len(languages), 1 << HASH_BITS
     data = [(place[lang], at, weighted(at, n, idf)) for lang, at, n in rows if len(at)]
+    if not data:
+        return LanguageModel((), idf, np.zeros((0, d), np.float32), np.zeros(0), 1.0)
     cut = max(1, int(WEIGHTS_SHARE * len(data)))
     z, n2 = np.zeros((k, d + 1)), np.zeros((k, d + 1))
 
@@ -142,7 +145,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], df: np.ndarray, total: i
         return float(np.mean(np.log(np.exp(s).sum(1)) - s[np.arange(len(truth)), truth]))
 
     grid = np.linspace(-3, 3, 121)
-    best = min(grid, key=loss) if len(truth) else 0.0
+    best = min(grid, key=loss)
     return LanguageModel(languages, idf, w[:, :d].astype(np.float32), w[:, d], float(np.exp(best)))
 
 
@@ -175,7 +178,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with lang_pred and score."""
-    kept = [c for c in docs.columns if c != text_col]
+    kept = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

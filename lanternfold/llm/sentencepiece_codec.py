@@ -6,7 +6,7 @@ word once with the library and joins the ids back by position. A line feed that
 bounds chunks likewise. A model without these properties is run on whole texts.
 
 Defined results: a null text is an empty one, which has only the begin and end ids; rows that repeat give a row each; an
-empty table gives an empty result; other columns pass through untouched.
+empty table gives an empty result; other columns pass through untouched, but columns of the outputs' names are replaced.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ class ChunkCodec:
 
 def encode_documents(docs: DataFrame, model_file: str, text_col: str = "text", keep_ids: bool = False, keep_decoded: bool = False) -> DataFrame:
     """``docs`` without the text, with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int) and decoded."""
-    kept = [c for c in docs.columns if c != text_col]
+    kept = [c for c in docs.columns if c not in (text_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")]
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
     fields += ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *["ids array<int>"] * keep_ids, *["decoded string"] * keep_decoded]
 

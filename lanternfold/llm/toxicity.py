@@ -11,7 +11,7 @@ The fit uses a bounded sample of labelled texts: ``MAX_TOXIC`` and ``MAX_ORDINAR
 each, those with the least hash of the id; near copies of an earlier sample text count once. Scoring reads whole texts.
 
 Defined results: null and empty texts have one empty window; without labels of both classes every score is 0; rows that
-repeat give a row each; an empty table gives an empty result; other columns pass through untouched.
+repeat give a row each; an empty table gives an empty result; other columns pass through untouched, but a column of the output's name is replaced.
 """
 
 from __future__ import annotations
@@ -210,12 +210,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(texts[1], texts[0])
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` (without the text unless ``keep_text``) with score, a double from 0 to 1."""
-    kept = [c for c in docs.columns if keep_text or c != text_col]
+def score_documents(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text", keep_text: bool = False, out: str = "score") -> DataFrame:
+    """``docs`` (without the text unless ``keep_text``) with the score, a double from 0 to 1, in column ``out``, which it replaces."""
+    kept = [c for c in docs.columns if (keep_text or c != text_col) and c != out]
     if model is None:
-        return docs.select(*kept, F.lit(0.0).alias("score"))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["score double"])
+        return docs.select(*kept, F.lit(0.0).alias(out))
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"`{out}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordinary, toxic = model.compressors()
@@ -223,6 +223,6 @@ def score_documents(docs: DataFrame, model: ToxicityModel | None, text_col: str
             x = np.array([features(prepared(t), ordinary, toxic) for t in batch.column("__text").to_pylist()]).reshape(-1, N_FEATURES)
             z = np.c_[(x - model.mean) / model.scale, np.ones(len(x))] @ model.weights
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score, pa.float64())], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score, pa.float64())], [*kept, out])
 
     return docs.select(*kept, whole_text(F.col(text_col)).alias("__text")).mapInArrow(run, schema)
