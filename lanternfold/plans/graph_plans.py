@@ -146,11 +146,11 @@ def _(t: Tables) -> DataFrame:
     return G.hyperedge_pairs(places(t), 40)
 
 
-CUST = "ce AS (SELECT DISTINCT o_custkey % 400 AS src, o_orderkey % 611 + 1000 AS dst FROM orders WHERE o_totalprice > 400000)"
+CUST = "ce AS (SELECT DISTINCT o_custkey AS src, o_orderkey + 1000000000 AS dst FROM orders)"
 
 
 def sparse(t: Tables) -> DataFrame:
-    return t.orders.where("o_totalprice > 400000").select((F.col("o_custkey") % 400).alias("src"), (F.col("o_orderkey") % 611 + 1000).alias("dst")).distinct()
+    return t.orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1000000000).alias("dst")).distinct()
 
 
 @R.add("g12_connected_components", f"""
@@ -172,10 +172,10 @@ def _checkpoints(t: Tables) -> None:
         t.spark.sparkContext.setCheckpointDir(folder)
 
 
-@R.add("g13_induced_subgraph", f"WITH {CUST} SELECT src, dst FROM ce WHERE src < 100 AND dst < 1300")
+@R.add("g13_induced_subgraph", f"WITH {CUST} SELECT src, dst FROM ce WHERE src IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND dst IN (SELECT o_orderkey + 1000000000 FROM orders WHERE o_orderstatus = 'F')")
 def _(t: Tables) -> DataFrame:
     edges = sparse(t)
-    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).where("id < 100 or (id >= 1000 and id < 1300)")
+    ids = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("id")).union(t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey") + 1000000000))
     return G.induced(edges, ids).select("src", "dst")
 
 

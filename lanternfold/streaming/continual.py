@@ -1,6 +1,6 @@
 """Continual memory as a stream: each micro-batch merges its observations into a versioned snapshot.
 
-The reference has no streaming runtime; this maps its step-by-step indexing on Structured Streaming. Every batch writes a new
+Step-by-step indexing as Structured Streaming. Every batch writes a new
 version and then a marker with its id; a batch that runs again after a failure finds its marker and changes nothing, so
 the result is that of one run.
 """
