@@ -20,8 +20,13 @@ PLACES = "pl AS (SELECT * FROM tr WHERE r <> 'supplied by')"
 
 
 def places(t: Tables) -> DataFrame:
-    """The triples of nations and regions: the graph that PageRank runs on."""
-    return W.triples(t).where("r <> 'supplied by'")
+    """The triples of nations and regions, which the SQL also has; with ``t.whole`` all triples."""
+    return W.triples(t) if t.whole else W.triples(t).where("r <> 'supplied by'")
+
+
+def passage_ids(t: Tables) -> str:
+    """What the ids of the passages of ``places`` look like."""
+    return "^[csnp][0-9]+$" if t.whole else "^[csn][0-9]+$"
 
 
 FE = f"fe AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM (SELECT {EID.format('s')} AS src, {EID.format('o')} AS dst FROM tr UNION ALL SELECT {EID.format('o')}, {EID.format('s')} FROM tr) GROUP BY ALL)"
@@ -237,7 +242,7 @@ def _rounds_sql(n: int, d: float, share: str = "st", key: str = "") -> str:
 @R.add("p3_personalised_pagerank", f"WITH {TR}, {RESET}, {GRAPH}, {_rounds_sql(10, 0.5)}, f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(p, 9) DESC, node) AS rank FROM s10 WHERE regexp_matches(node, '^[csn][0-9]+$')) SELECT q, node, round(p, 6) AS p, rank FROM f WHERE rank <= 50")
 def _(t: Tables) -> DataFrame:
     _checkpoints(t)
-    p = D.pagerank(place_graph(t), reset(t), 0.5, 10).where("node rlike '^[csn][0-9]+$'")
+    p = D.pagerank(place_graph(t), reset(t), 0.5, 10).where(F.col("node").rlike(passage_ids(t)))
     return top_k(p, ["q"], [F.desc(F.round("p", 9)), "node"], 50).select("q", "node", F.round("p", 6).alias("p"), "rank")
 
 
@@ -250,7 +255,7 @@ COND = f"""ty AS (SELECT src, dst, w, {TYPED.format('src')} || '_' || {TYPED.for
 @R.add("p4_conditioned_diffusion", f"WITH {TR}, {RESET}, {GRAPH}, {COND}, {_rounds_sql(6, 0.45, 'cs', ' AND t.q = s.q')}, f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(p, 9) DESC, node) AS rank FROM s6) SELECT q, node, round(p, 6) AS p, rank FROM f WHERE rank <= 30")
 def _(t: Tables) -> DataFrame:
     _checkpoints(t)
-    kind = lambda c: F.when(F.col(c).rlike("^[csn][0-9]+$"), "passage").otherwise("entity")
+    kind = lambda c: F.when(F.col(c).rlike(passage_ids(t)), "passage").otherwise("entity")
     start = reset(t)
     q = start.select("q").distinct()
     edges = place_graph(t).withColumns({"edge_type": F.concat(kind("src"), F.lit("_"), kind("dst")), "dst_type": kind("dst")})

@@ -11,10 +11,10 @@ Plan = Callable[[SparkSession, str], DataFrame]
 
 
 class Tables:
-    """The tables of one folder, opened when first named."""
+    """The tables of one folder, opened when first named. ``whole``: graph queries run on all triples, those of parts too."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
+        self.spark, self.sf_dir, self.whole = spark, sf_dir, whole
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -26,6 +26,7 @@ class Registry:
     def __init__(self) -> None:
         self.plans: dict[str, Plan] = {}
         self.sql: dict[str, str] = {}
+        self.made: dict[str, Callable[[Tables], DataFrame]] = {}
 
     def add(self, name: str, sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
         """Register a function from Tables to a DataFrame under ``name``; ``sql``: the same rows in SQL, if it can express them."""
@@ -34,6 +35,7 @@ class Registry:
             if name in self.plans:
                 raise ValueError(f"two queries are named {name}")
             self.plans[name] = lambda spark, sf_dir: plan(Tables(spark, sf_dir))
+            self.made[name] = plan
             if sql is not None:
                 self.sql[name] = textwrap.dedent(sql).strip()
             return plan
