@@ -1,10 +1,13 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
 Texts become sequences of tokens in which numbers, units after numbers, and names are typed placeholders. Every window
-of ``WINDOW`` template tokens of the benchmark is joined by hash with every window of every document. Matches on one
-diagonal (document place - item place) that cover ``COVERAGE`` of an item's windows are a candidate. The slots decide:
-where tokens under placeholders differ, each value of the item must become one value throughout the passage. A passage
-that passes is a copy (all slots equal) or a re-parameterised question (slots replaced consistently).
+of ``WINDOW`` template tokens of the benchmark is joined by hash with every window of every document. Runs of matches on
+one diagonal (document place - item place) are chained in order with runs on diagonals at most ``SHIFT`` away, so words
+put in or left out do not split a copy. A chain is a candidate if it has ``COVERAGE`` of an item's windows or covers as
+much of its tokens, or if one run has ``LONG_RUN`` windows. The slots decide: where tokens under placeholders differ,
+each value of the item must become one value throughout the chain. A passage that passes is a copy (all slots equal) or a
+re-parameterised question (slots replaced consistently). Neighbouring placeholders that are equal, and a unit after its
+number, are one slot, so a value may change its number of words.
 
 Windows with fewer than half literal tokens say nothing about an item and are left out on both sides. Items of fewer
 than ``WINDOW`` tokens are matched by windows of their own length.
@@ -15,12 +18,14 @@ that repeat match each; an empty table on either side gives an empty result; oth
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternfold.llm.common import drop_ids, materialise, small_or_shuffled, whole_text
 
 WINDOW, COVERAGE = 8, 0.5
+#: How far the diagonals of two runs of one chain may be apart, and the windows of a run that is enough by itself.
+SHIFT, LONG_RUN = 16, 24
 NUMBER, UNIT, NAME = "#num", "#unit", "#name"
 #: Units that are placeholders after a number.
 UNITS = (
@@ -35,8 +40,8 @@ def raw_tokens(text: Column) -> Column:
     return F.filter(F.split(whole_text(text), r"[\x20\x09-\x0D]+"), lambda x: x != "")
 
 
-def template_tokens(text: Column) -> Column:
-    """The same words as literals (lower case, without punctuation at the ends) and placeholders, one for one."""
+def _template(text: Column) -> Column:
+    """The same words as literals (lower case, without punctuation at the ends) and placeholders, one for one, as a text."""
     blank = r"[\x20\x09-\x0D]"
     t = F.concat(F.lit(" "), F.regexp_replace(whole_text(text), f"{blank}+", " "), F.lit(" "))
     # digits and signs without letters are a number
@@ -46,10 +51,37 @@ def template_tokens(text: Column) -> Column:
     t = F.lower(t)
     t = F.regexp_replace(t, r"(?<=\x20)[\"'(\[{«“]++(?=[^\x20])", "")
     t = F.regexp_replace(t, r"(?<=[^\x20])[.,;:!?\"')\]}»”]++(?=\x20)", "")
-    t = F.regexp_replace(t, rf"(?<={NUMBER}\x20)(?:{'|'.join(UNITS)})(?=\x20)", UNIT)
+    return F.regexp_replace(t, rf"(?<={NUMBER}\x20)(?:{'|'.join(UNITS)})(?=\x20)", UNIT)
+
+
+def _split(t: Column) -> Column:
     return F.filter(F.split(t, " "), lambda x: x != "")
 
 
+def template_tokens(text: Column) -> Column:
+    """The tokens of a text's template, one for each slot or literal: equal placeholders in a row are one, a unit belongs to its number."""
+    t = _template(text)
+    for x in (NUMBER, NAME):
+        t = F.regexp_replace(t, rf"(\x20{x})(?:\x20{x}(?=\x20))++", "$1")
+    return _split(F.regexp_replace(t, rf"(\x20{NUMBER})\x20{UNIT}(?=\x20)", "$1"))
+
+
+def slot_words(raw: Column, template: Column) -> Column:
+    """The words of each of ``template_tokens``, from a text's words and its template's words."""
+
+    def starts(t: Column) -> Column:
+        before = lambda i: F.get(t, i - 1)
+        joins = lambda i: (F.get(t, i).isin(NUMBER, NAME) & (F.get(t, i) == before(i))) | ((F.get(t, i) == UNIT) & (before(i) == NUMBER))
+        return F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | ~joins(i))
+
+    def words(x: Column) -> Column:
+        return F.transform(x["starts"], lambda a, k: F.slice(x["raw"], a + 1, F.coalesce(F.get(x["starts"], k + 1), F.size(x["raw"])) - a))
+
+    # the one-element transforms bind what they are given once
+    bound = F.transform(F.array(F.struct(raw.alias("raw"), template.alias("t"))), lambda x: F.struct(x["raw"].alias("raw"), starts(x["t"]).alias("starts")))
+    return F.transform(bound, words)[0]
+
+
 def _windows(tokens: Column, n: int) -> Column:
     """The hashes of all windows of n template tokens, by place; a placeholder's hash cannot be a literal's."""
     hashes = F.transform(tokens, _token_hash)
@@ -69,48 +101,99 @@ def _literal(tokens: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The windows of all items: item, length, hash, item_pos."""
+    """The windows of all items: item, length, tokens (count), hash, item_pos."""
     items = benchmark.select(F.col(id_col).alias("item"), template_tokens(F.col(text_col)).alias("tokens")).where(F.size("tokens") > 0)
     items = items.withColumn("length", F.least(F.size("tokens"), F.lit(WINDOW)))
-    each = items.select("item", "length", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("length") + 1), lambda i: F.slice("tokens", i, F.col("length")))).alias("item_pos", "window"))
-    return each.where(_literal(F.col("window"))).select("item", "length", F.xxhash64(F.transform("window", _token_hash)).alias("hash"), "item_pos")
+    each = items.select("item", "length", F.size("tokens").alias("n_tokens"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("length") + 1), lambda i: F.slice("tokens", i, F.col("length")))).alias("item_pos", "window"))
+    return each.where(_literal(F.col("window"))).select("item", "length", F.col("n_tokens").alias("tokens"), F.xxhash64(F.transform("window", _token_hash)).alias("hash"), "item_pos")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and item found in it: id, item, matched and windows (counts), copied (all slots equal)."""
     items = materialise(item_windows(benchmark, item_id_col, item_text_col), "bench-windows")
-    sizes = items.groupBy("item").agg(F.count("*").alias("windows"))
+    sizes = items.groupBy("item", "tokens", "length").agg(F.count("*").alias("windows"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     templates = texts.select("id", template_tokens(F.col("text")).alias("tokens"))
     found = None
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # WINDOW values at most
     for n in lengths:
         each = templates.select("id", F.posexplode(_windows(F.col("tokens"), n)).alias("pos", "hash"))
-        hits = each.join(small_or_shuffled(items.where(F.col("length") == n).drop("length")), "hash").select("id", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos")
+        hits = each.join(small_or_shuffled(items.where(F.col("length") == n).select("item", "hash", "item_pos")), "hash").select("id", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         empty = texts.limit(0).crossJoin(items.limit(0).select("item"))
         return empty.select("id", "item", F.lit(0).cast("long").alias("matched"), F.lit(0).cast("long").alias("windows"), F.lit(True).alias("copied"))
-    runs = found.groupBy("id", "item", "diagonal").agg(F.countDistinct("item_pos").alias("matched"), F.min("item_pos").alias("first"), F.max("item_pos").alias("last"))
-    runs = materialise(runs.join(F.broadcast(sizes), "item").where(F.col("matched") >= COVERAGE * F.col("windows")), "bench-runs")
+    chains = materialise(chained(found, sizes), "bench-chains")
     # the slots of candidates, from the texts of candidate documents and items alone
-    wanted = materialise(runs.select("id").distinct(), "bench-docs")
-    text = texts.join(small_or_shuffled(wanted), "id", "left_semi").select("id", raw_tokens(F.col("text")).alias("raw"))
-    item_text = benchmark.select(F.col(item_id_col).alias("item"), raw_tokens(F.col(item_text_col)).alias("item_raw"), template_tokens(F.col(item_text_col)).alias("item_tokens"))
-    both = runs.join(text, "id").join(item_text, "item")
-    start = F.col("first") + 1
-    n = F.col("last") - F.col("first") + F.least(F.size("item_tokens"), F.lit(WINDOW))
+    wanted = materialise(chains.select("id").distinct(), "bench-docs")
+    words = lambda c: slot_words(raw_tokens(F.col(c)), _split(_template(F.col(c))))
+    text = texts.join(small_or_shuffled(wanted), "id", "left_semi").select("id", words("text").alias("words"))
+    item_text = benchmark.select(F.col(item_id_col).alias("item"), F.col(item_text_col).alias("item_text")).join(F.broadcast(sizes.select("item")), "item", "left_semi")
+    item_text = item_text.select("item", words("item_text").alias("item_words"), template_tokens(F.col("item_text")).alias("item_tokens"))
+    both = chains.join(text, "id").join(item_text, "item")
     bare = lambda x: F.regexp_replace(x, r"^[\"'(\[{«“]+(?=.)|(?<=.)[.,;:!?\"')\]}»”]+$", "")
-    slots = F.filter(
-        F.zip_with(F.slice("item_tokens", start, n), F.zip_with(F.slice("item_raw", start, n), F.slice("raw", start + F.col("diagonal"), n), lambda i, d: F.struct(bare(i).alias("i"), bare(d).alias("d"))), lambda t, p: F.struct(t.alias("t"), p["i"].alias("i"), p["d"].alias("d"))),
-        lambda x: x["t"].isin(NUMBER, UNIT, NAME),
-    )
-    judged = both.withColumn("slots", F.array_distinct(F.transform(slots, lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d")))))
+    pair = lambda i, d: F.struct(bare(i).alias("i"), bare(d).alias("d"))
+
+    def values(x: Column) -> Column:
+        """The values of one slot: word by word, or as a whole if their numbers of words differ."""
+        return F.when(F.size(x["i"]) == F.size(x["d"]), F.zip_with(x["i"], x["d"], pair)).otherwise(F.array(pair(F.array_join(x["i"], " "), F.array_join(x["d"], " "))))
+
+    def slots(run: Column) -> Column:
+        start, n = run["first"] + 1, run["last"] - run["first"] + F.col("length")
+        sides = F.zip_with(F.slice("item_words", start, n), F.slice("words", start + run["diagonal"], n), lambda i, d: F.struct(i.alias("i"), d.alias("d")))
+        held = F.filter(F.zip_with(F.slice("item_tokens", start, n), sides, lambda t, p: F.struct(t.alias("t"), p.alias("p"))), lambda x: x["t"].isin(NUMBER, UNIT, NAME))
+        return F.flatten(F.transform(held, lambda x: values(x["p"])))
+
+    judged = both.withColumn("slots", F.array_distinct(F.flatten(F.transform("chain", slots))))
     one_each = F.size(F.array_distinct(F.transform("slots", lambda x: x["i"]))) == F.size("slots")
     kept = judged.where(one_each).withColumn("copied", ~F.exists("slots", lambda x: x["i"] != x["d"]))
     return kept.groupBy("id", "item").agg(F.max("matched").alias("matched"), F.max("windows").alias("windows"), F.max("copied").alias("copied"))
 
 
+def chained(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The candidates: id, item, length, chain (runs in order: first, last, diagonal), matched, windows.
+
+    ``found``: id, item, diagonal, item_pos, one row per match; ``sizes``: item, windows, tokens, length. Each run is the
+    end of its best chain; each chain is also judged without its first runs, as they may be chance matches.
+    """
+    order = Window.partitionBy("id", "item", "diagonal").orderBy("item_pos")
+    runs = found.distinct().withColumn("island", F.col("item_pos") - F.row_number().over(order))
+    runs = runs.groupBy("id", "item", "diagonal", "island").agg(F.min("item_pos").cast("long").alias("first"), F.max("item_pos").cast("long").alias("last"))
+    runs = runs.join(F.broadcast(sizes), "item").withColumns({"windows_n": F.col("last") - F.col("first") + 1, "tokens_n": F.col("last") - F.col("first") + F.col("length")})
+    run = F.struct((F.col("first") + F.col("diagonal")).alias("pos"), "first", "last", F.col("diagonal").cast("long").alias("diagonal"), F.col("windows_n").cast("long").alias("won"), F.col("tokens_n").cast("long").alias("gain"))
+    groups = runs.groupBy("id", "item", "windows", "tokens", "length").agg(F.sum("windows_n").alias("n"), F.sum("tokens_n").alias("t"), F.max("windows_n").alias("longest"), F.sort_array(F.collect_list(run)).alias("runs"))
+    enough = lambda n, t, longest: (n >= COVERAGE * F.col("windows")) | (t >= COVERAGE * F.col("tokens")) | (longest >= LONG_RUN)
+    groups = materialise(groups.where(enough(F.col("n"), F.col("t"), F.col("longest"))).select("id", "item", "windows", "tokens", "length", "runs"), "bench-runs")
+    one = "struct<pos:bigint,first:bigint,last:bigint,diagonal:bigint,won:bigint,gain:bigint>"
+    chain = f"struct<total:bigint,chain:array<{one}>>"
+    last = lambda c: F.element_at(c["chain"], -1)
+
+    def added(c: Column, x: Column) -> Column:
+        """A chain with one more run, which counts what the chain does not have."""
+        a = last(c)
+        gain, won = x["last"] - F.greatest(x["first"], a["last"] + F.col("length")) + F.col("length"), x["last"] - F.greatest(x["first"], a["last"] + 1) + 1
+        more = F.struct(x["pos"].alias("pos"), x["first"].alias("first"), x["last"].alias("last"), x["diagonal"].alias("diagonal"), F.greatest(won, F.lit(0)).cast("long").alias("won"), F.greatest(gain, F.lit(0)).cast("long").alias("gain"))
+        return F.struct((c["total"] + more["gain"]).cast("long").alias("total"), F.concat(c["chain"], F.array(more)).alias("chain"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = lambda c: (last(c)["pos"] < x["pos"]) & (last(c)["first"] < x["first"]) & (last(c)["last"] < x["last"]) & (last(c)["last"] + last(c)["diagonal"] < x["last"] + x["diagonal"]) & (F.abs(x["diagonal"] - last(c)["diagonal"]) <= SHIFT)
+        alone = F.struct(x["gain"].alias("total"), F.array(x).alias("chain"))
+        # a run that starts further back than an item reaches is followed by none
+        near = F.filter(acc["open"], lambda c: last(c)["pos"] >= x["pos"] - F.col("tokens") - SHIFT)
+        best = F.array_max(F.concat(F.array(alone), F.transform(F.filter(near, fits), lambda c: added(c, x)))).cast(chain)
+        return F.transform(F.array(F.struct(near.alias("near"), best.alias("best"))), lambda b: F.struct(F.concat(b["near"], F.array(b["best"])).alias("open"), F.concat(acc["all"], F.array(b["best"])).alias("all")))[0]
+
+    empty = F.array().cast(f"array<{chain}>")
+    ends = F.aggregate("runs", F.struct(empty.alias("open"), empty.alias("all")), step, lambda acc: acc["all"])
+    each = groups.withColumn("end", F.explode(ends)).withColumn("full", F.col("end.chain"))
+    each = each.select("id", "item", "windows", "tokens", "length", "full", F.explode(F.sequence(F.lit(1), F.size("full"))).alias("k"))
+    each = each.withColumn("chain", F.slice("full", F.col("k"), F.size("full")))
+    head = F.col("chain")[0]
+    total = lambda name: F.aggregate(F.slice("chain", 2, F.size("chain")), F.lit(0).cast("long"), lambda n, x: n + x[name])
+    each = each.withColumns({"matched": head["last"] - head["first"] + 1 + total("won"), "covered": head["last"] - head["first"] + F.col("length") + total("gain"), "longest": F.array_max(F.transform("chain", lambda x: x["last"] - x["first"] + 1))})
+    return each.where(enough(F.col("matched"), F.col("covered"), F.col("longest"))).select("id", "item", "length", "chain", "matched", "windows")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold an item."""
     found = contaminated(docs, benchmark, id_col, text_col)

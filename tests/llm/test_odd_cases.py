@@ -169,6 +169,28 @@ def test_decontamination(spark, odd, none):
     assert decontam.contaminated(odd, items).count() == 0
 
 
+def test_decontamination_of_edited_copies(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega one two three four five six seven eight nine ten eleven twelve some more words".split()
+    short, ask = item[:15], "has {} apples and gives 5 km of rope to {} before lunch so that {} is left with {} when it is all over now"
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short[::-1])), (3, "then Bob " + ask.format(12, "Ann", "Bob", "rope"))], "item_id long, text string")
+    put = lambda words, k: " ".join(["before", "it", *words[:k], "inserted", *words[k:], "after", "it"])
+    rows = [(100 + k, put(item, k)) for k in range(1, 39)] + [(200 + k, put(short[::-1], k)) for k in range(1, 15)] + [(300, "x " + " ".join(item[:19] + item[20:]))]
+    again = ask.replace("5 km", "7")
+    rows += [(400, "then Sam " + again.format(33, "Mary Ann", "Sam", "rope")), (401, "then Sam " + again.format(33, "Mary Ann", "Tom", "rope")), (500, " ".join(item[:3] + ["other"] + item[30:34]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["id"], r["item"]): r["copied"] for r in decontam.contaminated(docs, items).collect()}
+    assert all(got.get((100 + k, 1)) for k in range(1, 39)) and got[300, 1]
+    assert all(got.get((200 + k, 2)) for k in range(1, 15))
+    assert got[400, 3] is False and (401, 3) not in got and not [k for k in got if k[0] == 500]
+
+
+def test_decontamination_of_a_long_part(spark):
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)]
+    docs = spark.createDataFrame([(1, "some text " + " ".join(words[100:140]) + " other text"), (2, " ".join(words[100:112]))], "doc_id long, text string")
+    got = decontam.contaminated(docs, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()
+    assert [(r["id"], r["matched"], r["windows"]) for r in got] == [(1, 33, 393)]
+
+
 def test_language_model(spark, odd, none):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog are in the house with the man", "en"), ("der hund und die katze sind in dem haus mit dem mann", "de"), ("le chien et le chat sont dans la maison avec un homme", "fr")] * 12)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
