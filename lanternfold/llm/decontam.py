@@ -9,8 +9,10 @@ each value of the item must become one value throughout the chain. A passage tha
 re-parameterised question (slots replaced consistently). Neighbouring placeholders that are equal, and a unit after its
 number, are one slot, so a value may change its number of words.
 
-Windows with fewer than half literal tokens say nothing about an item and are left out on both sides. Items of fewer
-than ``WINDOW`` tokens are matched by windows of their own length.
+Template windows with fewer than half literal tokens say nothing about an item and are left out on both sides. Beside the
+templates, windows of the lower-cased words themselves, without punctuation, are matched and chained the same way: they
+find copies of items that are all names and numbers, and copies in other case. Items of fewer than ``WINDOW`` tokens are
+matched by windows of their own length.
 
 Defined results: null and empty texts match nothing; rows that repeat an id give one row for the id and item; items
 that repeat match each; an empty table on either side gives an empty result; other columns are never looked at.
@@ -18,6 +20,8 @@ that repeat match each; an empty table on either side gives an empty result; oth
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +70,12 @@ def template_tokens(text: Column) -> Column:
     return _split(F.regexp_replace(t, rf"(\x20{NUMBER})\x20{UNIT}(?=\x20)", "$1"))
 
 
+def exact_tokens(text: Column) -> Column:
+    """The words of a text in lower case, without punctuation."""
+    bare = F.translate(F.lower(whole_text(text)), "\"'()[]{}«»“”„‘’.,;:!?¿¡", "")
+    return F.filter(F.split(bare, r"[\x20\x09-\x0D]+"), lambda x: x != "")
+
+
 def slot_words(raw: Column, template: Column) -> Column:
     """The words of each of ``template_tokens``, from a text's words and its template's words."""
 
@@ -100,36 +110,52 @@ def _literal(tokens: Column) -> Column:
     return 2 * F.size(F.filter(tokens, lambda x: ~x.isin(NUMBER, UNIT, NAME))) >= F.size(tokens)
 
 
-def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The windows of all items: item, length, tokens (count), hash, item_pos."""
-    items = benchmark.select(F.col(id_col).alias("item"), template_tokens(F.col(text_col)).alias("tokens")).where(F.size("tokens") > 0)
+def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", tokenise: Callable[[Column], Column] = template_tokens) -> DataFrame:
+    """The windows of all items: item, length, tokens (count), hash, item_pos; of templates those that say something."""
+    items = benchmark.select(F.col(id_col).alias("item"), tokenise(F.col(text_col)).alias("tokens")).where(F.size("tokens") > 0)
     items = items.withColumn("length", F.least(F.size("tokens"), F.lit(WINDOW)))
     each = items.select("item", "length", F.size("tokens").alias("n_tokens"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("length") + 1), lambda i: F.slice("tokens", i, F.col("length")))).alias("item_pos", "window"))
-    return each.where(_literal(F.col("window"))).select("item", "length", F.col("n_tokens").alias("tokens"), F.xxhash64(F.transform("window", _token_hash)).alias("hash"), "item_pos")
+    if tokenise is template_tokens:
+        each = each.where(_literal(F.col("window")))
+    return each.select("item", "length", F.col("n_tokens").alias("tokens"), F.xxhash64(F.transform("window", _token_hash)).alias("hash"), "item_pos")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row for each document and item found in it: id, item, matched and windows (counts), copied (all slots equal)."""
-    items = materialise(item_windows(benchmark, item_id_col, item_text_col), "bench-windows")
+def _candidates(texts: DataFrame, items: DataFrame, tokenise: Callable[[Column], Column]) -> DataFrame | None:
+    """``chained`` for all texts (id, text) and ``items`` (windows); None if there is no window."""
     sizes = items.groupBy("item", "tokens", "length").agg(F.count("*").alias("windows"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    templates = texts.select("id", template_tokens(F.col("text")).alias("tokens"))
+    tokens = texts.select("id", tokenise(F.col("text")).alias("tokens"))
     found = None
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # WINDOW values at most
     for n in lengths:
-        each = templates.select("id", F.posexplode(_windows(F.col("tokens"), n)).alias("pos", "hash"))
+        each = tokens.select("id", F.posexplode(_windows(F.col("tokens"), n)).alias("pos", "hash"))
         hits = each.join(small_or_shuffled(items.where(F.col("length") == n).select("item", "hash", "item_pos")), "hash").select("id", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos")
         found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        empty = texts.limit(0).crossJoin(items.limit(0).select("item"))
+    return None if found is None else materialise(chained(found, sizes), "bench-chains")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """A row for each document and item found in it: id, item, matched and windows (counts, of the better route), copied (all slots equal)."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    exact = _candidates(texts, materialise(item_windows(benchmark, item_id_col, item_text_col, exact_tokens), "bench-exact"), exact_tokens)
+    if exact is None:
+        empty = texts.limit(0).crossJoin(benchmark.limit(0).select(F.col(item_id_col).alias("item")))
         return empty.select("id", "item", F.lit(0).cast("long").alias("matched"), F.lit(0).cast("long").alias("windows"), F.lit(True).alias("copied"))
-    chains = materialise(chained(found, sizes), "bench-chains")
+    found = exact.select("id", "item", "matched", "windows", F.lit(True).alias("copied"))
+    items = materialise(item_windows(benchmark, item_id_col, item_text_col), "bench-windows")
+    chains = _candidates(texts, items, template_tokens)
+    if chains is not None:
+        found = found.unionByName(_consistent(texts, benchmark.select(F.col(item_id_col).alias("item"), F.col(item_text_col).alias("item_text")), chains))
+    best = F.max(F.struct("matched", "windows"))
+    return found.groupBy("id", "item").agg(best.alias("best"), F.max("copied").alias("copied")).select("id", "item", "best.matched", "best.windows", "copied")
+
+
+def _consistent(texts: DataFrame, items: DataFrame, chains: DataFrame) -> DataFrame:
+    """The ``chains`` of templates whose slots are replaced consistently: id, item, matched, windows, copied. ``items``: item, item_text."""
     # the slots of candidates, from the texts of candidate documents and items alone
     wanted = materialise(chains.select("id").distinct(), "bench-docs")
     words = lambda c: slot_words(raw_tokens(F.col(c)), _split(_template(F.col(c))))
     text = texts.join(small_or_shuffled(wanted), "id", "left_semi").select("id", words("text").alias("words"))
-    item_text = benchmark.select(F.col(item_id_col).alias("item"), F.col(item_text_col).alias("item_text")).join(F.broadcast(sizes.select("item")), "item", "left_semi")
-    item_text = item_text.select("item", words("item_text").alias("item_words"), template_tokens(F.col("item_text")).alias("item_tokens"))
+    item_text = items.join(small_or_shuffled(chains.select("item").distinct()), "item", "left_semi").select("item", words("item_text").alias("item_words"), template_tokens(F.col("item_text")).alias("item_tokens"))
     both = chains.join(text, "id").join(item_text, "item")
     bare = lambda x: F.regexp_replace(x, r"^[\"'(\[{«“]+(?=.)|(?<=.)[.,;:!?\"')\]}»”]+$", "")
     pair = lambda i, d: F.struct(bare(i).alias("i"), bare(d).alias("d"))
@@ -147,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     judged = both.withColumn("slots", F.array_distinct(F.flatten(F.transform("chain", slots))))
     one_each = F.size(F.array_distinct(F.transform("slots", lambda x: x["i"]))) == F.size("slots")
     kept = judged.where(one_each).withColumn("copied", ~F.exists("slots", lambda x: x["i"] != x["d"]))
-    return kept.groupBy("id", "item").agg(F.max("matched").alias("matched"), F.max("windows").alias("windows"), F.max("copied").alias("copied"))
+    return kept.select("id", "item", "matched", "windows", "copied")
 
 
 def chained(found: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -184,6 +184,15 @@ def test_decontamination_of_edited_copies(spark):
     assert got[400, 3] is False and (401, 3) not in got and not [k for k in got if k[0] == 500]
 
 
+def test_decontamination_of_names_numbers_and_other_case(spark):
+    texts = ["see Anna Berg, Carl Dorn, Emil Falk, Gerd Hahn, Ida Jung", "5 km 7 kg 9 m 12 s 14 h 3 t", "The old Mill of Ulm stands by the River Aar and the Town of Bern keeps its Key", "Paris Rome Oslo"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(10 * k + n, f"the text says: {change(x)}. And so on") for k, x in enumerate(texts) for n, change in enumerate((str, str.lower, str.upper))]
+    docs = spark.createDataFrame([*rows, (90, "the old town keeps 5 km and Rome")], "doc_id long, text string")
+    got = {(r["id"], r["item"]) for r in decontam.contaminated(docs, items).collect()}
+    assert got == {(i, i // 10) for i, _ in rows}
+
+
 def test_decontamination_of_a_long_part(spark):
     words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)]
     docs = spark.createDataFrame([(1, "some text " + " ".join(words[100:140]) + " other text"), (2, " ".join(words[100:112]))], "doc_id long, text string")
