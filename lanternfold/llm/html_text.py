@@ -4,7 +4,9 @@ A page is cut in lines, one for each block of its markup. A line's length counts
 regions that are never content (menus, forms, scripts, adverts, comments and the like have length 0). The sum of lengths
 over sliding windows of lines surges where the main text begins and dives where it ends; the lines between the surge and
 the dive are kept, widened to the ends of the element that holds the run, so that a short first or last paragraph or a
-heading next to the run is not cut. All runs that surge within the same holder are kept; nothing is kept outside it.
+heading next to the run is not cut. Where an article with its siblings, or a main element, has most of the page's text,
+that is the holder; else it is found from the heaviest run. All runs that surge within the same holder are kept; nothing is
+kept outside it.
 
 Defined results: null, empty and text-free pages give an empty text; unclosed and stray tags are read as browsers do,
 roughly; rows that repeat give a row each; an empty table gives an empty result; other columns pass through untouched, but
@@ -194,20 +196,7 @@ def main_lines(lines: list[Line]) -> list[int]:
         return []
     length = _lengths(lines)
     n = len(lines)
-    # the holder of main text: that article or main element, else the element, which has most of the text
-    holders = [_holder(x) for x in lines]
-    weight: dict[int, int] = {}
-    for h, x in zip(holders, length, strict=True):
-        if h:
-            weight[h] = weight.get(h, 0) + x
-    if weight and max(weight.values()) > 0:
-        best = max(weight, key=lambda h: (weight[h], -h))
-        inside = [h == best for h in holders]
-    else:
-        inside = [True] * n
-        best = 0
-    length = [x if i else 0 for x, i in zip(length, inside, strict=True)]
-    # blocks do not reach over the end of the holder: lines outside it have length 0 there
+    # blocks are summed over the whole page: the runs say where text is, holders only widen and clip them
     block = [sum(length[max(0, k - BLOCK_LINES) : k + BLOCK_LINES + 1]) for k in range(n)]
     top = max(block)
     if not top:
@@ -218,23 +207,42 @@ def main_lines(lines: list[Line]) -> list[int]:
     while k < n:
         if block[k] >= surge and length[k]:
             first = k
-            while k + 1 < n and (block[k + 1] >= surge or (best and inside[k + 1])):
+            while k + 1 < n and block[k + 1] >= surge:
                 k += 1
             runs.append([first, k])
         k += 1
-    if best:
-        # short lines of the holder before the surge and after the dive are its title and its ends
-        own = [k for k in range(n) if inside[k] and not lines[k].noise]
-        first = min(own[0], runs[0][0]) if own else runs[0][0]
-        last = max(own[-1], runs[-1][1]) if own else runs[-1][1]
-        runs = [[first, last]]
+    inside = _held(lines, length)
+    if inside:
+        # a run is clipped to the holder's lines and widened to the ends of their stretch: the title and short last lines
+        hit = {k for a, b in runs for k in range(a, b + 1) if inside[k] and length[k]}
+        runs = [r for r in _stretches(inside) if not hit.isdisjoint(range(r[0], r[1] + 1))]
     else:
+        inside = [True] * n
         heaviest = max(runs, key=lambda r: sum(length[r[0] : r[1] + 1]))
         parents = _ancestors(lines[max(range(heaviest[0], heaviest[1] + 1), key=lambda k: length[k])])
         common = _holding(lines, length, heaviest, parents)
         runs = [_widened(lines, r, common) for r in runs if r is heaviest or all(common in _ancestors(lines[k]) for k in (r[0], r[1]))]
     kept = sorted({k for a, b in runs for k in range(a, b + 1)})
-    return [k for k in kept if not lines[k].noise and (inside[k]) and not _link_list(lines[k])]
+    return [k for k in kept if not lines[k].noise and inside[k] and not _link_list(lines[k])]
+
+
+def _held(lines: list[Line], length: list[int]) -> list[bool]:
+    """For each line whether it is in the holder of main text, the article with its siblings or the main element that has most of the page's text; empty without one."""
+    holders = [_holder(x) for x in lines]
+    weight: dict[int, int] = {}
+    for h, x in zip(holders, length, strict=True):
+        if h:
+            weight[h] = weight.get(h, 0) + x
+    best = max(weight, key=lambda h: (weight[h], -h), default=0)
+    return [h == best for h in holders] if best and 2 * weight[best] > sum(length) else []
+
+
+def _stretches(inside: list[bool]) -> list[list[int]]:
+    """First and last of each stretch of lines in a row that are inside."""
+    n = len(inside)
+    firsts = [k for k in range(n) if inside[k] and not (k and inside[k - 1])]
+    lasts = [k for k in range(n) if inside[k] and not (k + 1 < n and inside[k + 1])]
+    return [list(x) for x in zip(firsts, lasts, strict=True)]
 
 
 def _link_list(line: Line) -> bool:
@@ -259,12 +267,12 @@ def _ancestors(line: Line) -> list[int]:
 
 
 def _holder(line: Line) -> int:
-    """The outermost article, else the innermost main element, that a line lies in; 0 without one."""
+    """A number for the outermost article and its siblings, else the innermost main element, that a line lies in; 0 without one."""
     found, e = 0, line.at
     main = 0
     while e is not None:
         if e.name == "article":
-            found = e.number
+            found = -1 - (e.parent.number if e.parent else 0)
         elif e.name == "main" and not main:
             main = e.number
         e = e.parent

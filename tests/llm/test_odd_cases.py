@@ -252,3 +252,19 @@ def test_main_text(spark):
     assert html_text.main_text("<article><p>a&nbsp;b<br>c</p>tail</article>") == "a b c\ntail"
     rows = spark.createDataFrame([(1, None, "u"), (2, PAGE, "u")], "page_id long, html string, text string")
     assert {r["page_id"]: r["n_chars"] for r in html_text.extract(rows).collect()} == {1: 0, 2: len(expected)}
+
+
+def test_holders_do_not_replace_line_blocks():
+    para = "<p>This paragraph number {} has more than enough words to be a part of the main text of the page.</p>"
+    text = lambda k: re.sub("<.*?>", "", para.format(k))
+    body = "".join(para.format(k) for k in range(12))
+    # the body is in a div, and a small article is a teaser
+    page = f"<html><body><div class='x'>{body}</div><article><p>Read this too.</p></article></body></html>"
+    assert [text(k) for k in range(12)] == html_text.main_text(page).split("\n")[:12]
+    # several articles are one page, whatever their lengths
+    parts = [range(0, 6), range(6, 8), range(8, 12)]
+    page = "<html><body><main>" + "".join("<article>" + "".join(para.format(k) for k in p) + "</article>" for p in parts) + "</main></body></html>"
+    assert html_text.main_text(page).split("\n") == [text(k) for k in range(12)]
+    # an article with most of the text keeps what is outside it out
+    page = f"<html><body><p>Some words that stand before the article and are longer than the surge.</p><article>{body}</article></body></html>"
+    assert html_text.main_text(page).split("\n") == [text(k) for k in range(12)]
