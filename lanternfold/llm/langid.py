@@ -33,14 +33,18 @@ UNKNOWN = "und"
 
 @cache
 def _letters() -> np.ndarray:
-    """For each code point of the basic plane whether it is a letter; higher ones count as letters."""
+    """For each code point of the basic plane whether it is a letter."""
     return np.array([chr(i).isalpha() if not 0xD800 <= i < 0xE000 else False for i in range(0x10000)])
 
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text's n-grams and their counts; none if it has no letter."""
     a = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-    is_letter = _letters()[np.minimum(a, 0xFFFF)] | (a > 0xFFFF)
+    is_letter = _letters()[np.minimum(a, 0xFFFF)]
+    high = np.flatnonzero(a > 0xFFFF)
+    if high.size:
+        each, at = np.unique(a[high], return_inverse=True)
+        is_letter[high] = np.array([chr(x).isalpha() for x in each.tolist()])[at]
     if not is_letter.any():
         return np.empty(0, np.int64), np.empty(0)
     a = np.where(is_letter, a, 32)

@@ -268,3 +268,10 @@ def test_holders_do_not_replace_line_blocks():
     # an article with most of the text keeps what is outside it out
     page = f"<html><body><p>Some words that stand before the article and are longer than the surge.</p><article>{body}</article></body></html>"
     assert html_text.main_text(page).split("\n") == [text(k) for k in range(12)]
+
+
+def test_letters_above_the_basic_plane():
+    assert langid.counted("\U0001f600 \U0001f680\U0001f600 12")[0].size == 0
+    plain, marked = langid.counted("the dog"), langid.counted("the \U0001f600 dog")
+    assert plain[0].tolist() == marked[0].tolist() and plain[1].tolist() == marked[1].tolist()
+    assert langid.counted("\U00010400\U00010401")[0].size > 0 and langid.counted("\uffff")[0].size == 0
