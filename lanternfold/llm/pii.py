@@ -1,7 +1,7 @@
 """Personal data: base patterns and information-theoretic sanitisation, in DataFrame operations only.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. They are the protected entities. The
-corpus then says which other terms give an entity away: for a term t that stands near mentions of entity e, the
+corpus then says which other terms give an entity away: for a term t (any word) in the texts that mention entity e, the
 pointwise mutual information PMI(e; t) = log(n_et * N / (n_e * n_t)) is compared with the information content
 IC(e) = log(N / n_e) of the entity. PMI / IC is 1 if t never occurs without e. Terms with a ratio of ``alpha`` or more,
 seen with e in at least ``min_support`` different texts, disclose e: they become spans of kind ``term`` wherever they
@@ -27,10 +27,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: Letters of a term, and the characters of context on each side of a mention.
-TERM = r"\p{L}{4,}"
-CONTEXT_CHARS = 80
-CONTEXT_TERMS = 8
+#: A term: a word of letters.
+TERM = r"(?<![\p{L}\p{N}])(\p{L}++)(?!\p{N})"
 
 
 def _digits(value: Column) -> Column:
@@ -71,26 +69,24 @@ def personal_spans(text: Column) -> Column:
     return F.concat(*spans)
 
 
-def _context_terms(text: Column, start: Column, end: Column) -> Column:
-    """The terms nearest to a mention: at most CONTEXT_TERMS on each side, lower case."""
-    # where a context is cut inside a word, that part word is left out by the wider cut's edge
-    low = F.greatest(start - CONTEXT_CHARS, F.lit(0))
-    before = F.regexp_extract_all(F.lower(F.substring(text, low + 1, start - low)), F.lit(rf"(?<![\p{{L}}\p{{N}}])({TERM})(?![\p{{L}}\p{{N}}])"), F.lit(1))
-    after = F.regexp_extract_all(F.lower(F.substring(text, end + 1, F.lit(CONTEXT_CHARS))), F.lit(rf"(?<![\p{{L}}\p{{N}}])({TERM})(?![\p{{L}}\p{{N}}])"), F.lit(1))
-    last = F.slice(before, F.greatest(F.size(before) - CONTEXT_TERMS + 1, F.lit(1)), F.lit(CONTEXT_TERMS))
-    return F.array_distinct(F.concat(last, F.slice(after, 1, CONTEXT_TERMS)))
+def _terms(text: Column) -> Column:
+    """The different words of a text, lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(1)))
 
 
 def candidate_pairs(mentions: DataFrame, texts: DataFrame, alpha: float = 0.9, min_support: int = 3) -> DataFrame:
     """Entity and term pairs that may disclose: entity, term, n_et, n_e, least_t, total (materialised).
 
-    ``mentions``: blob (hash of the text), entity, terms (array), one row per mention; ``texts``: blob, all rows.
+    ``mentions``: blob (hash of the text), entities (array), terms (array), one row per text; ``texts``: blob, all rows.
     """
-    near = mentions.select("blob", "entity", F.explode("terms").alias("term")).distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_support)
-    entities = mentions.select("blob", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    # n_t is at least the number of different texts in which t stands near any entity: this alone clears common words
-    least = near.select("blob", "term").distinct().groupBy("term").agg(F.count("*").alias("least_t"))
+    held = mentions.dropDuplicates(["blob"])
+    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    # an entity of fewer texts has no term of min_support texts
+    entities = materialise(entities.where(F.col("n_e") >= min_support), "pii-entities")
+    named = held.select("blob", "terms", F.explode("entities").alias("entity")).join(small_or_shuffled(entities.select("entity")), "entity", "left_semi")
+    pairs = named.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_support)
+    # n_t is at least the number of different texts with any entity in which t stands: this alone clears common words
+    least = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least_t"))
     total = texts.select("blob").distinct().agg(F.count("*").alias("total"))
     pairs = pairs.join(entities, "entity").join(least, "term").join(F.broadcast(total)).where("n_e < total")
     return materialise(pairs.where(_ratio(F.col("least_t")) >= alpha), "pii-pairs")
@@ -110,17 +106,18 @@ def disclosing_terms(pairs: DataFrame, hits: DataFrame, alpha: float = 0.9) -> D
 
 def term_hits(docs: DataFrame, terms: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each document and each of ``terms`` that its text holds: the ``keep`` columns and term."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(whole_text(F.col("text"))), F.lit(rf"(?<![\p{{L}}\p{{N}}])({TERM})(?![\p{{L}}\p{{N}}])"), F.lit(1)))
-    return docs.select(*keep, F.explode(words).alias("term")).join(small_or_shuffled(terms.select("term")), "term", "left_semi")
+    return docs.select(*keep, F.explode(_terms(whole_text(F.col("text")))).alias("term")).join(small_or_shuffled(terms.select("term")), "term", "left_semi")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.9, min_support: int = 3) -> DataFrame:
     """One row per document: id, base (base spans), spans (base spans, then disclosing terms)."""
     rows = docs.select(F.col(id_col).alias("id"), whole_text(F.col(text_col)).alias("text"))
     spans = rows.withColumn("base", personal_spans(F.col("text")))
-    each = F.transform("base", lambda x: F.struct(F.concat_ws(":", x["kind"], F.regexp_replace(F.lower(x["value"]), r"[\x20()]", "")).alias("entity"), _context_terms(F.col("text"), x["start"], x["end"]).alias("terms")))
-    based = materialise(spans.select("id", F.xxhash64("text").alias("blob"), "base", each.alias("each")), "pii-base")
-    mentions = based.where(F.size("each") > 0).select("blob", F.explode("each").alias("m")).select("blob", "m.entity", "m.terms")
+    entity = lambda x: F.concat_ws(":", x["kind"], F.regexp_replace(F.lower(x["value"]), r"[\x20()]", ""))
+    based = materialise(spans.select("id", F.xxhash64("text").alias("blob"), "base"), "pii-base")
+    # the words of the whole text, but those inside base spans; all counts are by different texts
+    some = spans.where(F.size("base") > 0).select(F.xxhash64("text").alias("blob"), F.array_distinct(F.transform("base", entity)).alias("entities"), _terms(sanitised(F.col("text"), F.col("base"), False)).alias("terms"))
+    mentions = materialise(some, "pii-mentions")
     pairs = candidate_pairs(mentions, based, alpha, min_support)
     terms = materialise(pairs.select("term").distinct(), "pii-terms")
     if terms.isEmpty():
@@ -128,11 +125,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hits = materialise(term_hits(rows.select("id", F.xxhash64("text").alias("blob"), "text"), terms, ["id", "blob"]).distinct(), "pii-hits")
     disclosing = materialise(disclosing_terms(pairs, hits, alpha), "pii-disclosing")
     hits = materialise(hits.join(small_or_shuffled(disclosing.select("term")), "term", "left_semi"), "pii-found")
-    wanted = hits.select(F.col("id").alias("hid"), F.col("blob").alias("hblob"), "term")
+    # one search for all terms of a text
+    some = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.sort_array(F.collect_set("term")), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    wanted = materialise(hits.groupBy(F.col("id").alias("hid"), F.col("blob").alias("hblob")).agg(some.alias("exact")), "pii-wanted")
     text = rows.withColumn("blob", F.xxhash64("text")).join(small_or_shuffled(wanted), F.col("id").eqNullSafe(F.col("hid")) & (F.col("blob") == F.col("hblob")))
-    exact = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), F.col("term"), F.lit(r"(?![\p{L}\p{N}])"))
-    places = text.select("id", "blob", _term_spans(F.col("text"), exact).alias("found"))
-    extra = places.groupBy("id", "blob").agg(F.flatten(F.collect_set("found")).alias("found"))
+    extra = text.select("id", "blob", _term_spans(F.col("text"), F.col("exact")).alias("found")).groupBy("id", "blob").agg(F.first("found").alias("found"))
     extra = materialise(extra.select(F.col("id").alias("xid"), F.col("blob").alias("xblob"), F.array_sort("found").alias("found")), "pii-extra")
     joined = based.join(small_or_shuffled(extra), F.col("id").eqNullSafe(F.col("xid")) & (F.col("blob") == F.col("xblob")), "left")
     # a term inside a base span is covered already
@@ -158,12 +155,12 @@ def _term_spans(text: Column, pattern: Column) -> Column:
     return F.transform(F.array(F.struct(gaps.alias("gaps"), hits.alias("hits"))), walk)[0]
 
 
-def sanitised(text: Column, spans: Column) -> Column:
-    """The text with every span generalised to its kind, as in ``<EMAIL>``; of overlapping spans the first by start counts."""
+def sanitised(text: Column, spans: Column, named: bool = True) -> Column:
+    """The text with every span generalised to its kind, as in ``<EMAIL>`` (``<>`` if not ``named``); of overlapping spans the first by start counts."""
 
     def step(acc: Column, x: Column) -> Column:
         covered = x["start"] < acc["pos"]
-        piece = F.concat(acc["out"], F.substring(text, acc["pos"] + 1, x["start"] - acc["pos"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
+        piece = F.concat(acc["out"], F.substring(text, acc["pos"] + 1, x["start"] - acc["pos"]), F.lit("<"), F.upper(x["kind"]) if named else F.lit(""), F.lit(">"))
         return F.struct(F.when(covered, F.greatest(acc["pos"], x["end"])).otherwise(x["end"]).alias("pos"), F.when(covered, acc["out"]).otherwise(piece).alias("out"))
 
     def close(acc: Column) -> Column:

@@ -275,3 +275,15 @@ def test_letters_above_the_basic_plane():
     plain, marked = langid.counted("the dog"), langid.counted("the \U0001f600 dog")
     assert plain[0].tolist() == marked[0].tolist() and plain[1].tolist() == marked[1].tolist()
     assert langid.counted("\U00010400\U00010401")[0].size > 0 and langid.counted("\uffff")[0].size == 0
+
+
+def test_terms_far_from_the_entity_and_short_ones_disclose(spark):
+    filler = " ".join(f"word{chr(97 + k % 26)}" for k in range(40))
+    rows = [(i, f"kim {filler} mails z@zorb.example.com {filler} number{chr(97 + i)} zorblatt") for i in range(4)]
+    rows += [(10 + i, f"{filler} mails other words {chr(97 + i) * 6}") for i in range(40)] + [(60, "so zorblatt9 and kim9 are other words")]
+    found = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.personal_digest(found).collect()}
+    text = dict(rows)
+    for i in range(4):
+        assert {text[i][int(a) : int(b)] for k, a, b in (x.split(":") for x in got[i]) if k == "term"} == {"kim", "zorblatt"}
+    assert all(got[i] == [""] for i, _ in rows[4:])
