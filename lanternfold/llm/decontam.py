@@ -10,7 +10,7 @@ re-parameterised question (slots replaced consistently). Neighbouring placeholde
 number, are one slot, so a value may change its number of words.
 
 Template windows with fewer than half literal tokens say nothing about an item and are left out on both sides. Beside the
-templates, windows of the lower-cased words themselves, without punctuation, are matched and chained the same way: they
+templates, windows of the lower-cased words themselves (runs of letters and digits) are matched and chained the same way: they
 find copies of items that are all names and numbers, and copies in other case. Items of fewer than ``WINDOW`` tokens are
 matched by windows of their own length.
 
@@ -30,7 +30,8 @@ from lanternfold.llm.common import drop_ids, materialise, small_or_shuffled, who
 WINDOW, COVERAGE = 8, 0.5
 #: How far the diagonals of two runs of one chain may be apart, and the windows of a run that is enough by itself.
 SHIFT, LONG_RUN = 16, 24
-NUMBER, UNIT, NAME = "#num", "#unit", "#name"
+#: Placeholders. No literal is one of them, as every word of digits without letters is a number.
+NUMBER, UNIT, NAME = "0", "1", "2"
 #: Units that are placeholders after a number.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t ton tons oz lb lbs pound pounds ml l liter liters litre litres gallon gallons "
@@ -39,15 +40,20 @@ UNITS = (
 ).split()
 
 
+def _spaced(text: Column) -> Column:
+    """The text with a space between a number and a unit that is joined to it."""
+    return F.regexp_replace(whole_text(text), rf"(?i)(?<=[0-9])(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", " $0")
+
+
 def raw_tokens(text: Column) -> Column:
     """The words of a text: runs without white space."""
-    return F.filter(F.split(whole_text(text), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    return F.filter(F.split(_spaced(text), r"[\x20\x09-\x0D]+"), lambda x: x != "")
 
 
 def _template(text: Column) -> Column:
     """The same words as literals (lower case, without punctuation at the ends) and placeholders, one for one, as a text."""
     blank = r"[\x20\x09-\x0D]"
-    t = F.concat(F.lit(" "), F.regexp_replace(whole_text(text), f"{blank}+", " "), F.lit(" "))
+    t = F.concat(F.lit(" "), F.regexp_replace(_spaced(text), f"{blank}+", " "), F.lit(" "))
     # digits and signs without letters are a number
     t = F.regexp_replace(t, r"(?<=\x20)[^\x20\p{L}]*[0-9][^\x20\p{L}]*+(?=\x20)", NUMBER)
     # a capitalised word inside a sentence is a name; what stands after the end of a sentence or line is not looked at
@@ -71,9 +77,11 @@ def template_tokens(text: Column) -> Column:
 
 
 def exact_tokens(text: Column) -> Column:
-    """The words of a text in lower case, without punctuation."""
-    bare = F.translate(F.lower(whole_text(text)), "\"'()[]{}«»“”„‘’.,;:!?¿¡", "")
-    return F.filter(F.split(bare, r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    """The words of a text in lower case: runs of letters and digits. What is empty at the ends is left out."""
+    words = F.split(F.lower(whole_text(text)), r"[^\p{L}\p{N}]++")
+    first = F.when(words[0] == "", F.lit(1)).otherwise(F.lit(0))
+    last = F.when((F.size(words) > 1) & (F.element_at(words, -1) == ""), F.lit(1)).otherwise(F.lit(0))
+    return F.slice(words, first + 1, F.size(words) - first - last)
 
 
 def slot_words(raw: Column, template: Column) -> Column:
@@ -93,16 +101,21 @@ def slot_words(raw: Column, template: Column) -> Column:
 
 
 def _windows(tokens: Column, n: int) -> Column:
-    """The hashes of all windows of n template tokens, by place; a placeholder's hash cannot be a literal's."""
-    hashes = F.transform(tokens, _token_hash)
-    none = F.array().cast("array<bigint>")
-    # the one-element transform binds the hashes once; inside the inner one they would be made anew for each window
-    each = lambda h: F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(F.slice(h, i + 1, F.lit(n))))).otherwise(none)
-    return F.transform(F.array(hashes), each)[0]
+    """The hashes of all windows of n tokens, by place.
+
+    A window of 2k tokens is the hash of two of k; one of any other length, of two that overlap. So each place costs a few
+    hashes of two numbers, where slices would copy n tokens for each.
+    """
 
+    def joined(shift: int) -> Callable[[Column], Column]:
+        left = lambda h: F.greatest(F.size(h) - shift, F.lit(0))
+        return lambda h: F.zip_with(F.slice(h, 1, left(h)), F.slice(h, shift + 1, left(h)), lambda a, b: F.xxhash64(a, b))
 
-def _token_hash(token: Column) -> Column:
-    return F.when(token.isin(NUMBER, UNIT, NAME), F.crc32(token).cast("long")).otherwise(F.xxhash64(token))
+    # the one-element arrays bind each step's hashes once
+    h, k = F.array(F.transform(tokens, lambda x: F.xxhash64(x))), 1
+    while 2 * k <= n:
+        h, k = F.transform(h, joined(k)), 2 * k
+    return (F.transform(h, joined(n - k)) if n > k else h)[0]
 
 
 def _literal(tokens: Column) -> Column:
@@ -114,15 +127,16 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     """The windows of all items: item, length, tokens (count), hash, item_pos; of templates those that say something."""
     items = benchmark.select(F.col(id_col).alias("item"), tokenise(F.col(text_col)).alias("tokens")).where(F.size("tokens") > 0)
     items = items.withColumn("length", F.least(F.size("tokens"), F.lit(WINDOW)))
-    each = items.select("item", "length", F.size("tokens").alias("n_tokens"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("length") + 1), lambda i: F.slice("tokens", i, F.col("length")))).alias("item_pos", "window"))
+    of_length = F.coalesce(*[F.when(F.col("length") == n, _windows(F.col("tokens"), n)) for n in range(1, WINDOW + 1)])
+    each = items.select("item", "length", F.col("tokens").alias("words"), F.size("tokens").alias("tokens"), F.posexplode(of_length).alias("item_pos", "hash"))
     if tokenise is template_tokens:
-        each = each.where(_literal(F.col("window")))
-    return each.select("item", "length", F.col("n_tokens").alias("tokens"), F.xxhash64(F.transform("window", _token_hash)).alias("hash"), "item_pos")
+        each = each.where(_literal(F.slice("words", F.col("item_pos") + 1, F.col("length"))))
+    return each.select("item", "length", "tokens", "hash", "item_pos")
 
 
 def _candidates(texts: DataFrame, items: DataFrame, tokenise: Callable[[Column], Column]) -> DataFrame | None:
     """``chained`` for all texts (id, text) and ``items`` (windows); None if there is no window."""
-    sizes = items.groupBy("item", "tokens", "length").agg(F.count("*").alias("windows"))
+    sizes = materialise(items.groupBy("item", "tokens", "length").agg(F.count("*").alias("windows")), "bench-sizes")
     tokens = texts.select("id", tokenise(F.col("text")).alias("tokens"))
     found = None
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # WINDOW values at most
@@ -185,7 +199,7 @@ def chained(found: DataFrame, sizes: DataFrame) -> DataFrame:
     order = Window.partitionBy("id", "item", "diagonal").orderBy("item_pos")
     runs = found.distinct().withColumn("island", F.col("item_pos") - F.row_number().over(order))
     runs = runs.groupBy("id", "item", "diagonal", "island").agg(F.min("item_pos").cast("long").alias("first"), F.max("item_pos").cast("long").alias("last"))
-    runs = runs.join(F.broadcast(sizes), "item").withColumns({"windows_n": F.col("last") - F.col("first") + 1, "tokens_n": F.col("last") - F.col("first") + F.col("length")})
+    runs = runs.join(small_or_shuffled(sizes), "item").withColumns({"windows_n": F.col("last") - F.col("first") + 1, "tokens_n": F.col("last") - F.col("first") + F.col("length")})
     run = F.struct((F.col("first") + F.col("diagonal")).alias("pos"), "first", "last", F.col("diagonal").cast("long").alias("diagonal"), F.col("windows_n").cast("long").alias("won"), F.col("tokens_n").cast("long").alias("gain"))
     groups = runs.groupBy("id", "item", "windows", "tokens", "length").agg(F.sum("windows_n").alias("n"), F.sum("tokens_n").alias("t"), F.max("windows_n").alias("longest"), F.sort_array(F.collect_list(run)).alias("runs"))
     enough = lambda n, t, longest: (n >= COVERAGE * F.col("windows")) | (t >= COVERAGE * F.col("tokens")) | (longest >= LONG_RUN)
