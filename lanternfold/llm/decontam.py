@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternfold.llm.common import drop_ids, materialise, small_or_shuffled, whole_text
+from lanternfold.llm.common import drop_ids, materialise, quoted, small_or_shuffled, whole_text
 
 WINDOW, COVERAGE = 8, 0.5
 #: How far the diagonals of two runs of one chain may be apart, and the windows of a run that is enough by itself.
@@ -125,7 +125,7 @@ def _literal(tokens: Column) -> Column:
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", tokenise: Callable[[Column], Column] = template_tokens) -> DataFrame:
     """The windows of all items: item, length, tokens (count), hash, item_pos; of templates those that say something."""
-    items = benchmark.select(F.col(id_col).alias("item"), tokenise(F.col(text_col)).alias("tokens")).where(F.size("tokens") > 0)
+    items = benchmark.select(quoted(id_col).alias("item"), tokenise(quoted(text_col)).alias("tokens")).where(F.size("tokens") > 0)
     items = items.withColumn("length", F.least(F.size("tokens"), F.lit(WINDOW)))
     of_length = F.coalesce(*[F.when(F.col("length") == n, _windows(F.col("tokens"), n)) for n in range(1, WINDOW + 1)])
     each = items.select("item", "length", F.col("tokens").alias("words"), F.size("tokens").alias("tokens"), F.posexplode(of_length).alias("item_pos", "hash"))
@@ -149,16 +149,16 @@ def _candidates(texts: DataFrame, items: DataFrame, tokenise: Callable[[Column],
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and item found in it: id, item, matched and windows (counts, of the better route), copied (all slots equal)."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     exact = _candidates(texts, materialise(item_windows(benchmark, item_id_col, item_text_col, exact_tokens), "bench-exact"), exact_tokens)
     if exact is None:
-        empty = texts.limit(0).crossJoin(benchmark.limit(0).select(F.col(item_id_col).alias("item")))
+        empty = texts.limit(0).crossJoin(benchmark.limit(0).select(quoted(item_id_col).alias("item")))
         return empty.select("id", "item", F.lit(0).cast("long").alias("matched"), F.lit(0).cast("long").alias("windows"), F.lit(True).alias("copied"))
     found = exact.select("id", "item", "matched", "windows", F.lit(True).alias("copied"))
     items = materialise(item_windows(benchmark, item_id_col, item_text_col), "bench-windows")
     chains = _candidates(texts, items, template_tokens)
     if chains is not None:
-        found = found.unionByName(_consistent(texts, benchmark.select(F.col(item_id_col).alias("item"), F.col(item_text_col).alias("item_text")), chains))
+        found = found.unionByName(_consistent(texts, benchmark.select(quoted(item_id_col).alias("item"), quoted(item_text_col).alias("item_text")), chains))
     best = F.max(F.struct("matched", "windows"))
     return found.groupBy("id", "item").agg(best.alias("best"), F.max("copied").alias("copied")).select("id", "item", "best.matched", "best.windows", "copied")
 

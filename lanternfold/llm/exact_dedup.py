@@ -2,7 +2,8 @@
 
 Rows are grouped by the length of their normalised text and a hash of its first characters; both come from one
 narrow scan and one pre-aggregated shuffle. Only rows whose (length, prefix hash) some other row shares get their
-full content hashed, and only those meet in groups of equal full hashes.
+full content hashed, and only those meet in groups of equal full hashes. A caller that reports the hash of every row
+gets it from the first scan; the refinement then decides which hashes meet.
 
 Defined results: a null text is an empty one; empty texts equal each other; of rows that repeat the same id and text
 one is kept; null ids sort last; an empty table gives an empty result; other columns are never looked at.
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternfold.llm.common import BROADCAST_ROWS, materialise, small_or_shuffled, utf8_sha256, whole_text
+from lanternfold.llm.common import fresh, materialise, quoted, small_or_shuffled, utf8_sha256, whole_text
 
 PREFIX_CHARS = 64
 
@@ -23,23 +24,20 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(whole_text(text), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def _levels(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    norm = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
-    return norm.select("id", "norm", F.length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix"))
-
-
-def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
-    """One materialised row per document: rid, id, sha (full hash, null where the length or prefix is unique) and,
-    if ``digest_all``, digest (the hash of every row, for callers that report it)."""
-    levels = _levels(docs, id_col, text_col)
-    shared = materialise(levels.groupBy("len", "prefix").count().where("count > 1").select("len", "prefix", F.lit(True).alias("shared")), "dedup-shared")
-    if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        flagged = levels.join(F.broadcast(shared), ["len", "prefix"], "left")
-    else:  # too many to broadcast, and a shuffle would carry the texts: hash every row where it is read
-        flagged = levels.withColumn("shared", F.lit(True))
+def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False, keep_unique: bool = True) -> DataFrame:
+    """One materialised row per document: rid, id, sha (full hash, null where the length or prefix is unique; without
+    ``keep_unique`` such rows are left out) and, if ``digest_all``, digest (the hash of every row, for callers that report it)."""
+    norm = docs.select(quoted(id_col).alias("id"), normalised(quoted(text_col)).alias("norm"))
     full = utf8_sha256(F.col("norm"))
-    columns = [F.monotonically_increasing_id().alias("rid"), "id", F.when(F.col("shared"), full).alias("sha")]
-    return materialise(flagged.select(*columns, *([full.alias("digest")] if digest_all else [])), "dedup-rows")
+    levels = norm.select(F.monotonically_increasing_id().alias("rid"), "id", "norm", F.length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix"))
+    if digest_all:
+        levels = materialise(levels.select("rid", "id", "len", "prefix", full.alias("digest")), "dedup-levels")
+        full = F.col("digest")
+    shared = materialise(levels.groupBy("len", "prefix").count().where("count > 1").select("len", "prefix", F.lit(True).alias("shared")), "dedup-shared")
+    # beyond a broadcast, full contents are read by a join of the rows themselves
+    found = levels.join(small_or_shuffled(shared), ["len", "prefix"], "left" if keep_unique else "inner")
+    sha = F.when(F.col("shared"), full).alias("sha")
+    return materialise(found.select("rid", "id", sha, *(["digest"] if digest_all else [])), "dedup-rows")
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -63,16 +61,24 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns as they are."""
-    rows = refine(docs, id_col, text_col)
-    met = rows.where("sha is not null").join(groups(rows), "sha")
-    gone = materialise(met.where("rid <> keep_rid").select("id", "sha", (~F.col("id").eqNullSafe(F.col("keep_id"))).alias("other")), "dedup-gone")
-    keyed = docs.withColumn("__sha", utf8_sha256(normalised(F.col(text_col))))
-    if not gone.isEmpty():
-        out = gone.where("other").select(F.col("id").alias("__gid"), F.col("sha").alias("__gsha")).distinct()
-        keyed = keyed.join(small_or_shuffled(out), F.col(id_col).eqNullSafe(F.col("__gid")) & (F.col("__sha") == F.col("__gsha")), "left_anti")
-        again = gone.where("not other").select(F.col("id").alias("__gid"), F.col("sha").alias("__gsha")).distinct()
-        if not again.isEmpty():  # rows that repeat id and text: one stays
-            on = F.col(id_col).eqNullSafe(F.col("__gid")) & (F.col("__sha") == F.col("__gsha"))
-            keyed = keyed.join(small_or_shuffled(again), on, "left_anti").unionByName(keyed.join(small_or_shuffled(again), on, "left_semi").dropDuplicates([id_col, "__sha"]))
-    return keyed.select(*docs.columns)
+    """``docs`` with one row of each group of equal texts, all columns as they are. Only rows with the id of a dropped row are hashed again."""
+    rows = refine(docs, id_col, text_col, keep_unique=False)
+    met = rows.join(groups(rows), "sha").where("rid <> keep_rid")
+    gone = materialise(met.select("id", "sha", F.col("id").eqNullSafe(F.col("keep_id")).alias("again")).distinct(), "dedup-gone")
+    if gone.isEmpty():
+        return docs
+    hit, sha, gid, gsha = fresh(docs, "hit", "sha", "gid", "gsha")
+    ids = gone.select(F.col("id").alias(gid)).distinct().withColumn(hit, F.lit(True))
+    keyed = docs.join(small_or_shuffled(materialise(ids, "dedup-ids")), quoted(id_col).eqNullSafe(F.col(gid)), "left")
+    keyed = keyed.withColumn(sha, F.when(F.col(hit), utf8_sha256(normalised(quoted(text_col))))).drop(gid, hit)
+
+    def side(rows: DataFrame) -> tuple[DataFrame, Column]:
+        on = quoted(id_col).eqNullSafe(F.col(gid)) & (F.col(sha) == F.col(gsha))
+        return small_or_shuffled(rows.select(F.col("id").alias(gid), F.col("sha").alias(gsha))), on
+
+    kept = keyed.join(*side(gone.where("not again")), "left_anti")
+    again = gone.where("again")
+    if not again.isEmpty():  # rows that repeat id and text: one stays
+        table, on = side(again)
+        kept = kept.join(table, on, "left_anti").unionByName(kept.join(table, on, "left_semi").dropDuplicates([id_col, sha]))
+    return kept.drop(sha)

@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from lanternfold.llm.common import quoted, with_results
 
 #: Lines on each side of a line that its block sums, and the block sum from which text surges.
 BLOCK_LINES, SURGE_CHARS = 2, 25
@@ -312,12 +313,12 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without the html, with text and n_chars."""
-    kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept] + ["text string", "n_chars long"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(x) for x in batch.column("__html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*kept, "text", "n_chars"])
+    def worker() -> Callable[[list[str]], list[pa.Array]]:
+        def make(found: list[str]) -> list[pa.Array]:
+            texts = [main_text(x) for x in found]
+            return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+
+        return make
 
-    return pages.select(*kept, F.col(html_col).cast("string").alias("__html")).mapInArrow(run, schema)
+    return with_results(pages, quoted(html_col).cast("string"), [html_col], [("text", "string"), ("n_chars", "long")], worker)

@@ -4,7 +4,7 @@ N-grams of 1 to 3 characters of the lower-cased text, with runs of non-letters a
 ``2**HASH_BITS`` buckets. Weights are learnt by follow-the-regularised-leader with per-coordinate rates and an
 elastic-net penalty (L1 makes them sparse), then one temperature is fitted on rows that taught no weight. Document
 frequencies cover all training documents; the weights come from a bounded sample, at most ``MAX_PER_LANGUAGE`` texts of
-each language, those with the least hash of the id.
+each language, those with the least hash of id and text.
 
 Defined results: ``und`` with score 0 if a text is null, empty or has no letter, or if nothing was there to learn from;
 rows that repeat give a row each; an empty table gives an empty result; other columns pass through
@@ -13,16 +13,16 @@ untouched, but columns of the outputs' names are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfold.llm.common import whole_text
+from lanternfold.llm.common import batches_bounded, quoted, small_or_shuffled, whole_text, with_results
 
 HASH_BITS = 15
 MAX_PER_LANGUAGE = 400
@@ -155,40 +155,40 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], df: np.ndarray, total: i
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on ``docs`` with a language. Callers leave out the rows that must not teach."""
-    docs = docs.where(F.col(lang_col).isNotNull())
-    counts = docs.groupBy(lang_col).agg(F.count("*").alias("n"))
+    batches_bounded(docs.sparkSession)
+    docs = docs.select(quoted(id_col).cast("string").alias("id"), quoted(lang_col).cast("string").alias("lang"), whole_text(quoted(text_col)).alias("text")).where("lang is not null")
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
     space = 1 << 31
-    share = counts.select(F.col(lang_col).alias("__lang"), F.least(F.lit(1.0), 1.15 * MAX_PER_LANGUAGE / F.col("n")).alias("__share"))
-    order: Column = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(space))
-    chosen = docs.withColumn("__h", order).join(F.broadcast(share), F.col(lang_col) == F.col("__lang")).where(F.col("__h") < F.col("__share") * space)
+    share = counts.select("lang", F.least(F.lit(1.0), 1.15 * MAX_PER_LANGUAGE / F.col("n")).alias("share"))
+    # rows that repeat id and text are one; so about 1.15 * MAX_PER_LANGUAGE texts of a language are below its share
+    chosen = docs.withColumn("h", F.pmod(F.xxhash64("id", "text"), F.lit(space))).join(small_or_shuffled(share), "lang").where(F.col("h") < F.col("share") * space)
+    chosen = chosen.dropDuplicates(["lang", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [counted(t) for t in batch.column("__text").to_pylist()]
-            arrays = [batch.column("__lang"), batch.column("__h"), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([n.astype("<f4").tobytes() for _, n in found], pa.binary())]
+            found = [counted(t) for t in batch.column("text").to_pylist()]
+            arrays = [batch.column("lang"), batch.column("h"), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([n.astype("<f4").tobytes() for _, n in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["lang", "h", "at", "n"])
 
-    texts = chosen.select("__lang", "__h", whole_text(F.col(text_col)).alias("__text"))
-    rows = sorted(texts.mapInArrow(run, "lang string, h long, at binary, n binary").collect(), key=lambda r: (r["h"], r["lang"], r["at"]))
+    rows = sorted(chosen.select("lang", "h", "text").mapInArrow(run, "lang string, h long, at binary, n binary").collect(), key=lambda r: (r["h"], r["lang"], r["at"]))
     taken: dict[str, int] = {}
     sample = []
     for r in rows:
         taken[r["lang"]] = taken.get(r["lang"], 0) + 1
         if taken[r["lang"]] <= MAX_PER_LANGUAGE:
             sample.append((r["lang"], np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["n"], "<f4").astype(float)))
-    df, total = document_frequencies(docs, text_col)
+    df, total = document_frequencies(docs, "text")
     return fit(sample, df, total)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with lang_pred and score."""
-    kept = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["lang_pred string", "score double"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [model.predict(t) for t in batch.column("__text").to_pylist()]
-            arrays = [*(batch.column(c) for c in kept), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*kept, "lang_pred", "score"])
+    def worker() -> Callable[[list[str]], list[pa.Array]]:
+        def make(texts: list[str]) -> list[pa.Array]:
+            found = [model.predict(t) for t in texts]
+            return [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+
+        return make
 
-    return docs.select(*kept, whole_text(F.col(text_col)).alias("__text")).mapInArrow(run, schema)
+    return with_results(docs, whole_text(quoted(text_col)), [text_col], [("lang_pred", "string"), ("score", "double")], worker)

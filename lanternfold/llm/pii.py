@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternfold.llm.common import materialise, small_or_shuffled, whole_text
+from lanternfold.llm.common import materialise, quoted, small_or_shuffled, whole_text
 from lanternfold.llm.spans import located, span_string, tagged
 
 #: Kinds in order, and their patterns. Possessive runs and the guard on what stands before a match do not
@@ -110,8 +110,8 @@ def term_hits(docs: DataFrame, terms: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.9, min_support: int = 3) -> DataFrame:
-    """One row per document: id, base (base spans), spans (base spans, then disclosing terms)."""
-    rows = docs.select(F.col(id_col).alias("id"), whole_text(F.col(text_col)).alias("text"))
+    """One row per document: id, blob (hash of the text), base (base spans), spans (base spans, then disclosing terms)."""
+    rows = docs.select(quoted(id_col).alias("id"), whole_text(quoted(text_col)).alias("text"))
     spans = rows.withColumn("base", personal_spans(F.col("text")))
     entity = lambda x: F.concat_ws(":", x["kind"], F.regexp_replace(F.lower(x["value"]), r"[\x20()]", ""))
     based = materialise(spans.select("id", F.xxhash64("text").alias("blob"), "base"), "pii-base")
@@ -121,7 +121,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = candidate_pairs(mentions, based, alpha, min_support)
     terms = materialise(pairs.select("term").distinct(), "pii-terms")
     if terms.isEmpty():
-        return based.select("id", "base", F.col("base").alias("spans"))
+        return based.select("id", "blob", "base", F.col("base").alias("spans"))
     hits = materialise(term_hits(rows.select("id", F.xxhash64("text").alias("blob"), "text"), terms, ["id", "blob"]).distinct(), "pii-hits")
     disclosing = materialise(disclosing_terms(pairs, hits, alpha), "pii-disclosing")
     hits = materialise(hits.join(small_or_shuffled(disclosing.select("term")), "term", "left_semi"), "pii-found")
@@ -134,7 +134,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = based.join(small_or_shuffled(extra), F.col("id").eqNullSafe(F.col("xid")) & (F.col("blob") == F.col("xblob")), "left")
     # a term inside a base span is covered already
     free = F.filter("found", lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
-    return joined.select("id", "base", F.concat("base", F.coalesce(free, F.array().cast(based.schema["base"].dataType))).alias("spans"))
+    return joined.select("id", "blob", "base", F.concat("base", F.coalesce(free, F.array().cast(based.schema["base"].dataType))).alias("spans"))
 
 
 def _term_spans(text: Column, pattern: Column) -> Column:
@@ -169,10 +169,23 @@ def sanitised(text: Column, spans: Column, named: bool = True) -> Column:
     return F.aggregate(F.array_sort(spans), F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, close)
 
 
-def personal_digest(found: DataFrame) -> DataFrame:
-    """The spans of each document as counts, a digest of the base spans and a span string."""
+def sanitised_documents(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The sanitised texts of the documents with spans, others are as they were: id, blob, sanitised. ``found``: of ``personal_data``, materialised."""
+    some = found.where(F.size("spans") > 0).select(F.col("id").alias("sid"), F.col("blob").alias("sblob"), "spans").dropDuplicates(["sid", "sblob"])
+    rows = docs.select(quoted(id_col).alias("id"), whole_text(quoted(text_col)).alias("text")).withColumn("blob", F.xxhash64("text"))
+    joined = rows.join(small_or_shuffled(materialise(some, "pii-some")), F.col("id").eqNullSafe(F.col("sid")) & (F.col("blob") == F.col("sblob")))
+    return joined.select("id", "blob", sanitised(F.col("text"), F.col("spans")).alias("sanitised"))
+
+
+def personal_digest(found: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """The spans of each document as counts, a digest of the base spans and a span string; with ``changed`` (``sanitised_documents``) sanitised_sha256, null where nothing was sanitised."""
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    more = []
+    if changed is not None:
+        digests = changed.select(F.col("id").alias("cid"), F.col("blob").alias("cblob"), F.sha2(F.col("sanitised").cast("binary"), 256).alias("sanitised_sha256")).distinct()
+        found = found.join(small_or_shuffled(materialise(digests, "pii-digests")), F.col("id").eqNullSafe(F.col("cid")) & (F.col("blob") == F.col("cblob")), "left")
+        more = ["sanitised_sha256"]
     return found.select(
         F.col("id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in KINDS],
-        F.sha2(span_string(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_string(F.col("spans")).alias("spans"),
+        F.sha2(span_string(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_string(F.col("spans")).alias("spans"), *more,
     )

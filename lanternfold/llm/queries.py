@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternfold.llm import decontam, exact_dedup, html_text, jaccard_join, langid, pii, secrets, sentencepiece_codec, sharding, toxicity
-from lanternfold.llm.common import scratch, table
+from lanternfold.llm.common import materialise, scratch, table
 
 
 def piece_model() -> str:
@@ -20,8 +20,9 @@ def piece_model() -> str:
 
 def op1_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = secrets.BlobLedger(spark, scratch(spark, "ledger"))
-    ledger.scan(table(spark, sf_dir, "documents"))
-    return secrets.secret_digest(ledger.by_path())
+    ledger.scan(table(spark, sf_dir, "documents"), "base-1")
+    ledger.scan_blobs("formats-1")  # a rule version that comes later scans the blobs that the ledger has
+    return secrets.secret_digest(ledger.by_path("base-1"), ledger.findings("formats-1"))
 
 
 def op2_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,9 @@ def op5_parity_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_information_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal_digest(pii.personal_data(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    found = materialise(pii.personal_data(docs), "pii-result")
+    return pii.personal_digest(found, pii.sanitised_documents(docs, found))
 
 
 def op7_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,17 +13,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lanternfold.llm.common import whole_text
+from lanternfold.llm.common import quoted, whole_text, with_results
 
 MARK = "▁"
 #: Chunks that a task's table holds before it starts anew: bounds memory, not results.
-TABLE_CHUNKS = 500_000
+TABLE_CHUNKS = 200_000
 
 
 class ChunkCodec:
@@ -73,33 +72,27 @@ class ChunkCodec:
 
 def encode_documents(docs: DataFrame, model_file: str, text_col: str = "text", keep_ids: bool = False, keep_decoded: bool = False) -> DataFrame:
     """``docs`` without the text, with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int) and decoded."""
-    kept = [c for c in docs.columns if c not in (text_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")]
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
-    fields += ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *["ids array<int>"] * keep_ids, *["decoded string"] * keep_decoded]
+    results = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *[("ids", "array<int>")] * keep_ids, *[("decoded", "string")] * keep_decoded]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def worker() -> Callable[[list[str]], list[pa.Array]]:
         import numpy as np
 
         codec = ChunkCodec(model_file)
-        for batch in batches:
+
+        def make(texts: list[str]) -> list[pa.Array]:
             n, ids_sha, decoded_sha, all_ids, all_decoded = [], [], [], [], []
-            for ids in codec.encode(batch.column("__text").to_pylist()):
-                decoded = codec.decode(ids)
+            for ids in codec.encode(texts):
+                decoded, packed = codec.decode(ids), np.asarray(ids, "<u4")
                 n.append(len(ids))
-                ids_sha.append(hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest())
+                ids_sha.append(hashlib.sha256(packed.tobytes()).hexdigest())
                 decoded_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep_ids:
-                    all_ids.append(np.asarray(ids, np.int32))
+                    all_ids.append(packed.astype(np.int32))
                 if keep_decoded:
                     all_decoded.append(decoded)
-            columns = [batch.column(c) for c in kept] + [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
-            names = [*kept, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
-                names.append("ids")
-            if keep_decoded:
-                columns.append(pa.array(all_decoded, pa.string()))
-                names.append("decoded")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return docs.select(*kept, whole_text(F.col(text_col)).alias("__text")).mapInArrow(run, ", ".join(fields))
+            out = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+            return out + [pa.array(all_ids, pa.list_(pa.int32()))] * keep_ids + [pa.array(all_decoded, pa.string())] * keep_decoded
+
+        return make
+
+    return with_results(docs, whole_text(quoted(text_col)), [text_col, "ids", "decoded"], results, worker)

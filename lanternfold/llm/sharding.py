@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanternfold.llm.common import materialise, whole_text
+from lanternfold.llm.common import materialise, quoted, whole_text
 
 BITS = 5
 SUBCELLS = 256
@@ -87,8 +87,8 @@ def hilbert_places(rows: DataFrame, dims: list[Column], key: Column) -> DataFram
 
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", labels: tuple[str, str] = ("source", "lang")) -> DataFrame:
     """One row per document: id, size, text_crc32, place, shard, slot; shards cut the curve by the law ``rows``."""
-    text = whole_text(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32"), *[F.col(x).alias(f"label{k}") for k, x in enumerate(labels)])
+    text = whole_text(quoted(text_col))
+    rows = docs.select(quoted(id_col).alias("id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32"), *[quoted(x).alias(f"label{k}") for k, x in enumerate(labels)])
     dims = [quantised_size(F.col("size")), *[quantised_label(F.col(f"label{k}")) for k in range(len(labels))]]
     key = F.struct(F.col("id"), F.col("text_crc32"), F.col("size"))
     placed = hilbert_places(rows, dims, key)

@@ -20,7 +20,7 @@ import heapq
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfold.llm.common import whole_text
+from lanternfold.llm.common import quoted, whole_text, with_results
 
 MAX_TOXIC, MAX_ORDINARY, MAX_TRAIN_BYTES = 900, 2400, 20_000
 #: Share of the sample that builds the dictionaries; the rest fits the calibration.
@@ -201,28 +201,30 @@ def fit(toxic: list[str], ordinary: list[str]) -> ToxicityModel | None:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | None:
     """Fit on a bounded sample of ``labels`` (id, label 0 or 1). Callers leave out the rows that must not teach."""
     texts: dict[int, list[str]] = {}
-    one_text = docs.select(id_col, whole_text(F.col(text_col)).alias("__text")).where(F.octet_length("__text") <= MAX_TRAIN_BYTES)
+    one_text = docs.select(quoted(id_col).alias("id"), whole_text(quoted(text_col)).alias("text")).where(F.octet_length("text") <= MAX_TRAIN_BYTES)
     for y, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY)):
-        order = F.xxhash64(F.col(id_col).cast("string"))
-        chosen = labels.where((F.col(label_col) == y) & F.col(id_col).isNotNull()).select(id_col, order.alias("__h")).orderBy("__h", id_col).limit(most)
-        rows = one_text.join(F.broadcast(chosen), id_col).select("__h", "__text").collect()  # at most `most` ids
-        texts[y] = [r["__text"] for r in sorted(rows, key=lambda r: (r["__h"], r["__text"]))[:most]]
+        labelled = labels.where((quoted(label_col) == y) & quoted(id_col).isNotNull()).select(quoted(id_col).alias("id"))
+        chosen = labelled.distinct().withColumn("h", F.xxhash64(F.col("id").cast("string"))).orderBy("h", "id").limit(most)
+        rows = one_text.join(F.broadcast(chosen), "id").select("h", "text").orderBy("h", "text").limit(most).collect()  # `most` rows, however often an id repeats
+        texts[y] = [r["text"] for r in rows]
     return fit(texts[1], texts[0])
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text", keep_text: bool = False, out: str = "score") -> DataFrame:
     """``docs`` (without the text unless ``keep_text``) with the score, a double from 0 to 1, in column ``out``, which it replaces."""
-    kept = [c for c in docs.columns if (keep_text or c != text_col) and c != out]
+    dropped = [] if keep_text else [text_col]
     if model is None:
-        return docs.select(*kept, F.lit(0.0).alias(out))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"`{out}` double"])
+        gone = {x.lower() for x in (*dropped, out)}
+        return docs.select(*[quoted(c) for c in docs.columns if c.lower() not in gone], F.lit(0.0).alias(out))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def worker() -> Callable[[list[str]], list[pa.Array]]:
         ordinary, toxic = model.compressors()
-        for batch in batches:
-            x = np.array([features(prepared(t), ordinary, toxic) for t in batch.column("__text").to_pylist()]).reshape(-1, N_FEATURES)
+
+        def make(texts: list[str]) -> list[pa.Array]:
+            x = np.array([features(prepared(t), ordinary, toxic) for t in texts]).reshape(-1, N_FEATURES)
             z = np.c_[(x - model.mean) / model.scale, np.ones(len(x))] @ model.weights
-            score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score, pa.float64())], [*kept, out])
+            return [pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())]
+
+        return make
 
-    return docs.select(*kept, whole_text(F.col(text_col)).alias("__text")).mapInArrow(run, schema)
+    return with_results(docs, whole_text(quoted(text_col)), dropped, [(out, "double")], worker)

@@ -37,24 +37,41 @@ def test_exact_dedup(odd, none, odd_rows):
 
 def test_secrets_ledger_scans_each_blob_once(spark, odd, none):
     ledger = secrets.BlobLedger(spark, scratch(spark, "t"))
-    ledger.scan(odd)
-    first = ledger.findings().count()
-    ledger.scan(odd)
-    assert ledger.findings().count() == first
-    got = {r["doc_id"]: r for r in secrets.secret_digest(ledger.by_path(0)).collect()}
+    assert ledger.scan(odd) == 0
+    first = ledger.findings("base-1").count()
+    assert ledger.scan(odd) == 1
+    assert ledger.findings("base-1").count() == first and ledger.unscanned("base-1").isEmpty()
+    got = {r["doc_id"]: r for r in secrets.secret_digest(ledger.by_path(run=0)).collect()}
     text = 'mail a.b@mail1.example.com or c_d@e.f, token = "abcdef0123456789abcdef0123456789"'
     a, h = ASSIGN.search(text), re.search("[0-9a-f]{24,}", text)
     line = f"assign:{a.start()}:{a.end()},hex:{h.start()}:{h.end()}"
     assert got[11]["spans"] == line and got[11]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
     assert got[1]["spans"] == "" and got[1]["n_hex"] == 0
-    other = secrets.BlobLedger(spark, ledger.path, "base-2")
-    other.scan(odd)
-    assert other.findings().count() == first
     empty = secrets.BlobLedger(spark, scratch(spark, "t"))
     empty.scan(none)
     assert empty.by_path().count() == 0
 
 
+def test_a_new_rule_version_scans_old_blobs_and_unscanned_pairs_show(spark):
+    ledger = secrets.BlobLedger(spark, scratch(spark, "t"))
+    key = "-----BEGIN RSA PRIVATE KEY-----"
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    ledger.scan(docs((1, f"see {key} here"), (2, "token: abcdefgh")))
+    assert [r["spans"] for r in ledger.by_path("formats-1").collect()] == [None, None]
+    assert ledger.unscanned("formats-1").count() == 2
+    ledger.scan_blobs("formats-1")
+    spans = lambda version: {r["id"]: [(x["kind"], x["start"], x["end"]) for x in r["spans"]] for r in ledger.by_path(version).collect()}
+    assert spans("formats-1") == {1: [("pem", 4, 4 + len(key))], 2: []}
+    # a later batch scans its new blobs alone, and a batch of known blobs none
+    ledger.add(docs((3, f"{key} again")))
+    assert [r["text"] for r in ledger.unscanned("formats-1").collect()] == [f"{key} again"]
+    ledger.scan(docs((4, f"{key} again"), (5, f"see {key} here")), "formats-1")
+    assert {k: len(v) for k, v in spans("formats-1").items()} == {1: 1, 2: 0, 4: 1, 5: 1}
+    assert {r["id"]: r["spans"] is None for r in ledger.by_path("base-1").collect()} == {1: False, 2: False, 4: True, 5: False}
+    digest = {r["doc_id"]: r["spans"] for r in secrets.secret_digest(ledger.by_path("base-1", run=0), ledger.findings("formats-1")).collect()}
+    assert digest == {1: f"pem:4:{4 + len(key)}", 2: "assign:0:15"}
+
+
 def test_personal_data(spark, odd, none):
     got = {r["doc_id"]: r for r in pii.personal_digest(pii.personal_data(odd)).collect()}
     assert got[11]["n_email"] == 2 and got[11]["spans"].startswith("email:5:")
