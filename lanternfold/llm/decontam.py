@@ -42,7 +42,7 @@ UNITS = (
 
 def _spaced(text: Column) -> Column:
     """The text with a space between a number and a unit that is joined to it."""
-    return F.regexp_replace(whole_text(text), rf"(?i)(?<=[0-9])(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", " $0")
+    return F.regexp_replace(whole_text(text), rf"(?i)([0-9])({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", "$1 $2")
 
 
 def raw_tokens(text: Column) -> Column:
@@ -52,16 +52,16 @@ def raw_tokens(text: Column) -> Column:
 
 def _template(text: Column) -> Column:
     """The same words as literals (lower case, without punctuation at the ends) and placeholders, one for one, as a text."""
-    blank = r"[\x20\x09-\x0D]"
-    t = F.concat(F.lit(" "), F.regexp_replace(_spaced(text), f"{blank}+", " "), F.lit(" "))
+    # a run that is one space already is not matched
+    t = F.concat(F.lit(" "), F.regexp_replace(_spaced(text), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "), F.lit(" "))
+    # each pattern starts with a character that has to match, and looks at what stands before it only then
     # digits and signs without letters are a number
-    t = F.regexp_replace(t, r"(?<=\x20)[^\x20\p{L}]*[0-9][^\x20\p{L}]*+(?=\x20)", NUMBER)
+    t = F.regexp_replace(t, r"\x20[^\x20\p{L}0-9]*+[0-9][^\x20\p{L}]*+(?=\x20)", f" {NUMBER}")
     # a capitalised word inside a sentence is a name; what stands after the end of a sentence or line is not looked at
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{Lu},;]\x20)\p{Lu}[\p{L}'’-]*+(?=[^\x20\p{L}]*\x20)", NAME)
+    t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{Ll}\p{Lu},;]\x20.)[\p{L}'’-]*+(?=[^\x20\p{L}]*\x20)", NAME)
     t = F.lower(t)
-    t = F.regexp_replace(t, r"(?<=\x20)[\"'(\[{«“]++(?=[^\x20])", "")
-    t = F.regexp_replace(t, r"(?<=[^\x20])[.,;:!?\"')\]}»”]++(?=\x20)", "")
-    return F.regexp_replace(t, rf"(?<={NUMBER}\x20)(?:{'|'.join(UNITS)})(?=\x20)", UNIT)
+    t = F.regexp_replace(t, r"[\"'(\[{«“](?<=\x20.)[\"'(\[{«“]*+(?=[^\x20])|[.,;:!?\"')\]}»”](?<=[^\x20].)[.,;:!?\"')\]}»”]*+(?=\x20)", "")
+    return F.regexp_replace(t, rf"\x20{NUMBER}\x20(?:{'|'.join(UNITS)})(?=\x20)", f" {NUMBER} {UNIT}")
 
 
 def _split(t: Column) -> Column:
@@ -70,9 +70,7 @@ def _split(t: Column) -> Column:
 
 def template_tokens(text: Column) -> Column:
     """The tokens of a text's template, one for each slot or literal: equal placeholders in a row are one, a unit belongs to its number."""
-    t = _template(text)
-    for x in (NUMBER, NAME):
-        t = F.regexp_replace(t, rf"(\x20{x})(?:\x20{x}(?=\x20))++", "$1")
+    t = F.regexp_replace(_template(text), rf"(\x20[{NUMBER}{NAME}])(?:\1(?=\x20))++", "$1")
     return _split(F.regexp_replace(t, rf"(\x20{NUMBER})\x20{UNIT}(?=\x20)", "$1"))
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,6 +26,14 @@ MARK = "▁"
 TABLE_CHUNKS = 200_000
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def unpacked(ids: bytes) -> list[int]:
+    return list(struct.unpack(f"<{len(ids) // 4}I", ids))
+
+
 class ChunkCodec:
     """Encodes and decodes exactly as the library does with one model."""
 
@@ -39,19 +48,19 @@ class ChunkCodec:
         line_feed = "" if any("\n" in p for p in pieces) or self.sp.encode("\na", out_type=str)[:1] != [MARK] else r"\n"
         self.chunks = re.compile(rf" +[^ {line_feed}]*" + (r"|\n[^ \n]*" if line_feed else ""))
         self.mark_id = self.sp.piece_to_id(MARK)
-        self.begin, self.end = [self.sp.bos_id()], [self.sp.eos_id()]
-        self.table: dict[str, list[int]] = {}
+        self.begin, self.end = packed([self.sp.bos_id()]), packed([self.sp.eos_id()])
+        self.table: dict[str, bytes] = {}
 
     def _segment(self, new: list[str]) -> None:
         # the library adds one marker before each text; a chunk of blanks brings one of its own
         for chunk, ids in zip(new, self.sp.encode([c[1:] if c[0] == " " else c for c in new], num_threads=1), strict=True):
-            self.table[chunk] = ids if chunk[0] == " " and len(chunk) > 1 else [self.mark_id] if chunk[0] == " " else ids[1:]
+            self.table[chunk] = packed(ids if chunk[0] == " " and len(chunk) > 1 else [self.mark_id] if chunk[0] == " " else ids[1:])
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text, with begin and end ids."""
+    def encode_packed(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, with begin and end ids, as little-endian 32-bit numbers."""
         for text in texts:
             if not self.chunked:
-                yield self.begin + self.sp.encode(text) + self.end
+                yield self.begin + packed(self.sp.encode(text)) + self.end
                 continue
             chunks = self.chunks.findall(" " + text.replace(MARK, " ")) if text else []
             table = self.table
@@ -61,10 +70,12 @@ class ChunkCodec:
                 new = list(dict.fromkeys(chunks))
             if new:
                 self._segment(new)
-            ids = self.begin.copy()
-            for chunk in chunks:
-                ids += table[chunk]
-            yield ids + self.end
+            yield b"".join([self.begin, *map(table.__getitem__, chunks), self.end])
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text, with begin and end ids."""
+        for ids in self.encode_packed(texts):
+            yield unpacked(ids)
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
@@ -81,13 +92,13 @@ def encode_documents(docs: DataFrame, model_file: str, text_col: str = "text", k
 
         def make(texts: list[str]) -> list[pa.Array]:
             n, ids_sha, decoded_sha, all_ids, all_decoded = [], [], [], [], []
-            for ids in codec.encode(texts):
-                decoded, packed = codec.decode(ids), np.asarray(ids, "<u4")
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(packed.tobytes()).hexdigest())
+            for ids in codec.encode_packed(texts):
+                decoded = codec.decode(unpacked(ids))
+                n.append(len(ids) // 4)
+                ids_sha.append(hashlib.sha256(ids).hexdigest())
                 decoded_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep_ids:
-                    all_ids.append(packed.astype(np.int32))
+                    all_ids.append(np.frombuffer(ids, "<i4"))
                 if keep_decoded:
                     all_decoded.append(decoded)
             out = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
