@@ -3,27 +3,17 @@
 from __future__ import annotations
 
 from lanternfold.plans import fusion_plans, graph_plans, memory_plans, surface_plans, text_plans, transition_plans, vector_plans
-from lanternfold.registry import Plan, Tables
+from lanternfold.registry import Plan
 
 FLAGSHIP = "flagship_role_channels"
 MODULES = (text_plans, fusion_plans, vector_plans, graph_plans, memory_plans, transition_plans, surface_plans)
-#: What keeps the triples of parts from a graph query and its SQL, and a query without SQL that it holds for.
-FILTER, NO_SQL = "WHERE r <> 'supplied by'", ("p9_local_push",)
-
-
-def _whole(name: str, sql: str | None) -> bool:
-    return name in NO_SQL or FILTER in (sql or "")
 
 
 def queries() -> dict[str, Plan]:
-    """The queries by name; one that leaves the triples of parts out is there again as ``<name>_whole``, on all triples."""
-    plans = {name: plan for m in MODULES for name, plan in m.R.plans.items()}
-    for m in MODULES:
-        plans |= {f"{name}_whole": lambda spark, sf_dir, plan=plan: plan(Tables(spark, sf_dir, whole=True)) for name, plan in m.R.made.items() if _whole(name, m.R.sql.get(name))}
-    return plans
+    """The queries by name."""
+    return {name: plan for m in MODULES for name, plan in m.R.plans.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {name: sql for m in MODULES for name, sql in m.R.sql.items()}
-    # the same SQL without the filter; part rows are passages too
-    return sql | {f"{name}_whole": x.replace(FILTER, "").replace("^[csn][0-9]+$", "^[csnp][0-9]+$") for name, x in sql.items() if _whole(name, x)}
+    """The SQL of those queries that have one."""
+    return {name: sql for m in MODULES for name, sql in m.R.sql.items()}

@@ -16,17 +16,16 @@ from lanternfold.registry import Registry, Tables
 R = Registry()
 TR = W.TRIPLES
 EID = "'entity-' || md5({0})"
-PLACES = "pl AS (SELECT * FROM tr WHERE r <> 'supplied by')"
+PLACES = "pl AS (SELECT * FROM tr)"
 
 
 def places(t: Tables) -> DataFrame:
-    """The triples of nations and regions, which the SQL also has; with ``t.whole`` all triples."""
-    return W.triples(t) if t.whole else W.triples(t).where("r <> 'supplied by'")
+    """All triples of the star schema."""
+    return W.triples(t)
 
 
-def passage_ids(t: Tables) -> str:
-    """What the ids of the passages of ``places`` look like."""
-    return "^[csnp][0-9]+$" if t.whole else "^[csn][0-9]+$"
+#: What the ids of the passages of ``places`` look like.
+PASSAGE_IDS = "^[csnp][0-9]+$"
 
 
 FE = f"fe AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM (SELECT {EID.format('s')} AS src, {EID.format('o')} AS dst FROM tr UNION ALL SELECT {EID.format('o')}, {EID.format('s')} FROM tr) GROUP BY ALL)"
@@ -168,13 +167,9 @@ def _(t: Tables) -> DataFrame:
 
 
 def _checkpoints(t: Tables) -> None:
-    """Checkpoints go to the folder that the session names; a session without one gets a folder of its own."""
-    import tempfile
-
+    """Checkpoints go to the folder that the session names; a session without one gets a folder under the warehouse, which is shared too."""
     if not t.spark.conf.get("spark.checkpoint.dir", None):
-        folder = tempfile.mkdtemp(prefix="lanternfold-")
-        t.spark.conf.set("spark.checkpoint.dir", folder)
-        t.spark.sparkContext.setCheckpointDir(folder)
+        t.spark.sparkContext.setCheckpointDir(f"{t.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
 
 
 @R.add("g13_induced_subgraph", f"WITH {CUST} SELECT src, dst FROM ce WHERE src IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND dst IN (SELECT o_orderkey + 1000000000 FROM orders WHERE o_orderstatus = 'F')")
@@ -239,14 +234,14 @@ def _rounds_sql(n: int, d: float, share: str = "st", key: str = "") -> str:
     return ", ".join(steps)
 
 
-@R.add("p3_personalised_pagerank", f"WITH {TR}, {RESET}, {GRAPH}, {_rounds_sql(10, 0.5)}, f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(p, 9) DESC, node) AS rank FROM s10 WHERE regexp_matches(node, '^[csn][0-9]+$')) SELECT q, node, round(p, 6) AS p, rank FROM f WHERE rank <= 50")
+@R.add("p3_personalised_pagerank", f"WITH {TR}, {RESET}, {GRAPH}, {_rounds_sql(10, 0.5)}, f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(p, 9) DESC, node) AS rank FROM s10 WHERE regexp_matches(node, '^[csnp][0-9]+$')) SELECT q, node, round(p, 6) AS p, rank FROM f WHERE rank <= 50")
 def _(t: Tables) -> DataFrame:
     _checkpoints(t)
-    p = D.pagerank(place_graph(t), reset(t), 0.5, 10).where(F.col("node").rlike(passage_ids(t)))
+    p = D.pagerank(place_graph(t), reset(t), 0.5, 10).where(F.col("node").rlike(PASSAGE_IDS))
     return top_k(p, ["q"], [F.desc(F.round("p", 9)), "node"], 50).select("q", "node", F.round("p", 6).alias("p"), "rank")
 
 
-TYPED = "CASE WHEN regexp_matches({0}, '^[csn][0-9]+$') THEN 'passage' ELSE 'entity' END"
+TYPED = "CASE WHEN regexp_matches({0}, '^[csnp][0-9]+$') THEN 'passage' ELSE 'entity' END"
 COND = f"""ty AS (SELECT src, dst, w, {TYPED.format('src')} || '_' || {TYPED.format('dst')} AS et, {TYPED.format('dst')} AS dt FROM ge), ga(et, g) AS (VALUES ('entity_entity', 0.1::DOUBLE), ('entity_passage', 0.2), ('passage_entity', 0.3)),
     qs AS (SELECT DISTINCT q FROM re), ca AS (SELECT qs.q, src, dst, greatest(w * (g + 0.01::DOUBLE * qs.q) * (CASE WHEN dt = 'passage' THEN 0.48::DOUBLE ELSE 0.28 END) * greatest(coalesce(v, 0), 1e-4), 1e-4) AS w FROM ty JOIN ga USING (et) CROSS JOIN qs LEFT JOIN re ON re.q = qs.q AND re.node = dst),
     cs AS (SELECT q, src, dst, w / sum(w) OVER (PARTITION BY q, src) AS share FROM ca)"""
@@ -255,7 +250,7 @@ COND = f"""ty AS (SELECT src, dst, w, {TYPED.format('src')} || '_' || {TYPED.for
 @R.add("p4_conditioned_diffusion", f"WITH {TR}, {RESET}, {GRAPH}, {COND}, {_rounds_sql(6, 0.45, 'cs', ' AND t.q = s.q')}, f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(p, 9) DESC, node) AS rank FROM s6) SELECT q, node, round(p, 6) AS p, rank FROM f WHERE rank <= 30")
 def _(t: Tables) -> DataFrame:
     _checkpoints(t)
-    kind = lambda c: F.when(F.col(c).rlike(passage_ids(t)), "passage").otherwise("entity")
+    kind = lambda c: F.when(F.col(c).rlike(PASSAGE_IDS), "passage").otherwise("entity")
     start = reset(t)
     q = start.select("q").distinct()
     edges = place_graph(t).withColumns({"edge_type": F.concat(kind("src"), F.lit("_"), kind("dst")), "dst_type": kind("dst")})

@@ -102,7 +102,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @R.add("h2_proposition_texts", f"""
-    WITH {W.TRIPLES}, g AS (SELECT s, r, o, count(DISTINCT passage) AS n FROM tr WHERE r <> 'supplied by' GROUP BY ALL)
+    WITH {W.TRIPLES}, g AS (SELECT s, r, o, count(DISTINCT passage) AS n FROM tr GROUP BY ALL)
     SELECT s, o, 'Proposition: ' || s || ' ' || r || ' ' || o || chr(10) || 'Relation: ' || r || chr(10) || 'Subject: ' || s || chr(10) || 'Object: ' || o || chr(10) || 'Support Count: ' || n || chr(10) || 'Evidence:' || chr(10) || '1. ' || s || ' says' AS text FROM g
 """)
 def _(t: Tables) -> DataFrame:
@@ -146,7 +146,7 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select(F.lower(F.trim(F.substring_index("text", " ", 1))).alias("title")).where("title <> ''").groupBy("title").agg(F.count("*").alias("n"))
 
 
-@R.add("g15_missing_entities", f"WITH {W.TRIPLES}, k AS (SELECT DISTINCT lower(n_name) AS e FROM nation) SELECT x AS entity, count(DISTINCT passage) AS passages FROM (SELECT passage, unnest([s, o]) AS x FROM tr WHERE r <> 'supplied by') WHERE x NOT IN (SELECT e FROM k) GROUP BY x")
+@R.add("g15_missing_entities", f"WITH {W.TRIPLES}, k AS (SELECT DISTINCT lower(n_name) AS e FROM nation) SELECT x AS entity, count(DISTINCT passage) AS passages FROM (SELECT passage, unnest([s, o]) AS x FROM tr) WHERE x NOT IN (SELECT e FROM k) GROUP BY x")
 def _(t: Tables) -> DataFrame:
     known = t.nation.select(F.lower("n_name").alias("entity")).distinct()
     return G.mentions(places(t)).join(known, "entity", "left_anti").groupBy("entity").agg(F.countDistinct("passage").alias("passages"))

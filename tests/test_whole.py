@@ -11,17 +11,14 @@ from lanternfold.registry import Tables
 SF = f"{oracle.DATA}/sf0.001"
 
 
-def test_each_filtered_query_has_a_whole_one():
-    plans, sql = catalog.queries(), catalog.oracle_sql()
-    filtered = [n for n, x in sql.items() if "r <> 'supplied by'" in x] + ["p9_local_push"]
-    assert len(filtered) == 32 and all(f"{n}_whole" in plans for n in filtered)
-    assert not [n for n, x in sql.items() if n.endswith("_whole") and ("r <> 'supplied by'" in x or "[csn]" in x)]
+def test_graph_queries_leave_no_triples_out(spark):
+    assert not [n for n, x in catalog.oracle_sql().items() if "<> 'supplied by'" in x]
+    assert graph_plans.places(Tables(spark, SF)).count() == W.triples(Tables(spark, SF)).count()
 
 
 def test_pagerank_on_all_triples(spark):
-    t = Tables(spark, SF, whole=True)
+    t = Tables(spark, SF)
     triples = [tuple(r) for r in W.triples(t).select("passage", "s", "o").collect()]
-    assert graph_plans.places(t).count() == len(triples) > graph_plans.places(Tables(spark, SF)).count()
     weight = defaultdict(float)
     for a, b in {(p, x) for p, s, o in triples for x in (s, o)}:
         weight[a, b] += 1
@@ -36,7 +33,7 @@ def test_pagerank_on_all_triples(spark):
     reset = defaultdict(dict)
     for r in graph_plans.reset(t).collect():
         reset[r["q"]][r["node"]] = r["weight"]
-    got = catalog.queries()["p3_personalised_pagerank_whole"](spark, SF).collect()
+    got = catalog.queries()["p3_personalised_pagerank"](spark, SF).collect()
     for q, start in reset.items():
         p = dict(start)
         for _ in range(10):
