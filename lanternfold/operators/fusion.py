@@ -172,39 +172,40 @@ def pareto_repair_pool(channels: DataFrame, depth: int = CANDIDATE_TOP_K, most:
     return ranked(marked, ["q"], ["bad", "pos"], "place").select("q", "doc", F.col("place").alias("pos"))
 
 
-def demand_marginal_pool(channels: DataFrame, depth: int = CANDIDATE_TOP_K, most: int = MAX_CANDIDATES, alpha: float = 0.35) -> DataFrame:
-    """Greedy coverage of demands: q, doc, pos.
+def demand_marginal_pool(channels: DataFrame, depth: int = CANDIDATE_TOP_K, most: int = MAX_CANDIDATES, alpha: float = 0.35, seeds: DataFrame | None = None) -> DataFrame:
+    """Greedy coverage of demands: q, doc, pos. ``seeds`` (q, doc, rank) come first.
 
-    A document's exposure to a channel is 1 / log2(1 + rank). Each step takes the document with the greatest
-    alpha * relevance + (1 - alpha) * sum of exposure * (1 - coverage), where coverage of a channel is the largest exposure
-    taken so far and relevance the document's total exposure over the greatest. Ties: more channels, best rank, doc.
+    A document's exposure to a channel is 1 / log2(1 + rank) within ``depth``. Each step takes the document with the greatest
+    alpha * (its largest exposure) + (1 - alpha) * gain, where the gain is the sum of exposure * (1 - coverage) and the coverage of
+    a channel is the largest exposure taken so far. Ties: gain, largest exposure, first seen in the order of channels and
+    ranks, doc. A question's documents are a bounded list: channels times depth.
     """
+    width = channels.agg(F.max("cpos")).first()[0]
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        import math
-
-        exposure: dict[int, dict[int, float]] = {}
-        best: dict[int, int] = {}
-        for doc, c, r in zip(rows["doc"], rows["cpos"], rows["rank"], strict=True):
-            e = exposure.setdefault(int(doc), {})
-            e[int(c)] = max(e.get(int(c), 0.0), 1 / math.log2(1 + r))
-            best[int(doc)] = min(best.get(int(doc), 1 << 30), int(r))
-        total = {d: sum(e.values()) for d, e in exposure.items()}
-        top = max(total.values())
-        cover: dict[int, float] = {}
-        out: list[int] = []
-        while exposure and len(out) < most:
-            def value(d: int) -> tuple:
-                gain = sum(x * (1 - cover.get(c, 0.0)) for c, x in exposure[d].items())
-                return (round(alpha * total[d] / top + (1 - alpha) * gain, 9), len(exposure[d]), -best[d], -d)
-
-            pick = max(exposure, key=value)
-            for c, x in exposure.pop(pick).items():
-                cover[c] = max(cover.get(c, 0.0), x)
-            out.append(pick)
+        import numpy as np
+
+        shown, first = rows[rows["cpos"] >= 0].sort_values(["cpos", "rank"]), rows[rows["cpos"] < 0].sort_values("rank")["doc"].drop_duplicates().tolist()
+        docs = shown["doc"].drop_duplicates().to_numpy()  # in the order first seen
+        exposure = np.zeros((len(docs), (width or 0) + 1))
+        at = {d: k for k, d in enumerate(docs)}
+        np.maximum.at(exposure, (shown["doc"].map(at).to_numpy(int), shown["cpos"].to_numpy(int)), 1 / np.log2(1 + shown["rank"].to_numpy(float)))
+        out = first[:most]
+        free = ~np.isin(docs, out)
+        cover = exposure[~free].max(0, initial=0.0)
+        top = exposure.max(1, initial=0.0)
+        while free.any() and len(out) < most:
+            gain = exposure @ (1 - cover)
+            order = np.lexsort((docs, np.arange(len(docs)), -top.round(9), -gain.round(9), -(alpha * top + (1 - alpha) * gain).round(9)))
+            pick = order[free[order]][0]
+            free[pick] = False
+            cover = np.maximum(cover, exposure[pick])
+            out.append(int(docs[pick]))
         return pd.DataFrame({"q": rows["q"].iloc[0], "doc": out, "pos": range(1, len(out) + 1)})
 
-    rows = channels.where(F.col("rank") <= depth).select("q", "doc", "cpos", "rank")
+    rows = channels.where(F.col("rank") <= depth).select("q", "doc", F.col("cpos").cast("int").alias("cpos"), F.col("rank").cast("long").alias("rank"))
+    if seeds is not None:
+        rows = rows.unionByName(seeds.select("q", "doc", F.lit(-1).alias("cpos"), F.col("rank").cast("long").alias("rank")))
     return rows.groupBy("q").applyInPandas(greedy, "q long, doc long, pos long")
 
 

@@ -169,7 +169,9 @@ def _(t: Tables) -> DataFrame:
 def _checkpoints(t: Tables) -> None:
     """Checkpoints go to the folder that the session names; a session without one gets a folder under the warehouse, which is shared too."""
     if not t.spark.conf.get("spark.checkpoint.dir", None):
-        t.spark.sparkContext.setCheckpointDir(f"{t.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        folder = f"{t.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        t.spark.conf.set("spark.checkpoint.dir", folder)
+        t.spark.sparkContext.setCheckpointDir(folder)
 
 
 @R.add("g13_induced_subgraph", f"WITH {CUST} SELECT src, dst FROM ce WHERE src IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND dst IN (SELECT o_orderkey + 1000000000 FROM orders WHERE o_orderstatus = 'F')")

@@ -194,7 +194,9 @@ def _(t: Tables) -> DataFrame:
     best = top_k(ch.groupBy("q", "doc").agg(F.max("score").alias("score")), ["q"], [F.desc("score"), "doc"], 12).select("q", "doc", "score")
     pairs = pair_weights(ch)
     own = best.select("q", F.col("doc").alias("left")).join(best.select("q", F.col("doc").alias("right")), "q").where("left < right").join(pairs, ["left", "right"])
-    return X.beam_sets(best, own)
+    tokens = best.select("q", "doc", F.explode(F.array(F.col("doc") % 5, 5 + F.col("doc") % 3)).alias("token")).withColumn("idf", 1 + F.col("token") / 8)
+    priors = best.select("q", "doc", (F.col("doc") % 4 / 4).alias("channel"), (F.col("doc") % 6 == 0).alias("support"), (F.col("doc") % 3).alias("hubs"))
+    return X.beam_sets(best, own, tokens, priors)
 
 
 IDFS = f"""ei AS (SELECT e, ln(((SELECT count(DISTINCT doc) FROM nx) + 1) / (count(DISTINCT doc) + 0.5::DOUBLE)) + 1 AS idf FROM (SELECT doc, unnest([s, o]) AS e FROM nx) GROUP BY e), qs AS (SELECT n_nationkey AS q, 'where is ' || n_name || ' and customer ' || n_nationkey AS text FROM nation),
@@ -236,15 +238,26 @@ def _(t: Tables) -> DataFrame:
     b AS (SELECT *, CASE query_type WHEN 'factoid' THEN 0.45::DOUBLE WHEN 'explanatory' THEN 0.20 ELSE 0.28 END AS e0, CASE query_type WHEN 'factoid' THEN 0.20::DOUBLE WHEN 'explanatory' THEN 0.48 ELSE 0.45 END AS h0, CASE query_type WHEN 'factoid' THEN 0.35::DOUBLE WHEN 'explanatory' THEN 0.32 ELSE 0.27 END AS p0,
       CASE query_type WHEN 'factoid' THEN 0.45::DOUBLE WHEN 'explanatory' THEN 0.70 ELSE 0.65 END AS d0, pc > greatest(ec, hc) * 1.25::DOUBLE AS c1, hc > ec * 1.1::DOUBLE AS c2, ec > pc * 1.15::DOUBLE AND n <= 10 AS c3 FROM y),
     c AS (SELECT q, query_type, e0 - CASE WHEN c2 THEN 0.04 ELSE 0 END + CASE WHEN c3 THEN 0.08 ELSE 0 END AS e, h0 - CASE WHEN c1 THEN 0.05 ELSE 0 END + CASE WHEN c2 THEN 0.08 ELSE 0 END AS h, p0 + CASE WHEN c1 THEN 0.1 ELSE 0 END - CASE WHEN c2 THEN 0.04 ELSE 0 END - CASE WHEN c3 THEN 0.05 ELSE 0 END AS p,
+      CASE query_type WHEN 'factoid' THEN 0.32::DOUBLE WHEN 'explanatory' THEN 0.18 ELSE 0.27 END + CASE WHEN c2 THEN 0.03 ELSE 0 END + CASE WHEN c3 THEN 0.04 ELSE 0 END AS geh,
+      CASE query_type WHEN 'factoid' THEN 0.10::DOUBLE WHEN 'explanatory' THEN 0.32 ELSE 0.33 END - CASE WHEN c1 THEN 0.04 ELSE 0 END + CASE WHEN c2 THEN 0.05 ELSE 0 END - CASE WHEN c3 THEN 0.03 ELSE 0 END AS ghh,
+      CASE query_type WHEN 'factoid' THEN 0.28::DOUBLE WHEN 'explanatory' THEN 0.30 ELSE 0.20 END AS ghp, CASE query_type WHEN 'factoid' THEN 0.10::DOUBLE WHEN 'explanatory' THEN 0.07 ELSE 0.12 END AS gee,
+      CASE query_type WHEN 'factoid' THEN 0.20::DOUBLE WHEN 'explanatory' THEN 0.13 ELSE 0.08 END + CASE WHEN c1 THEN 0.04 ELSE 0 END - CASE WHEN c2 THEN 0.04 ELSE 0 END AS gep,
+      CASE query_type WHEN 'factoid' THEN 0.28::DOUBLE WHEN 'explanatory' THEN 0.18 ELSE 0.24 END + CASE WHEN c3 THEN 0.05 ELSE 0 END AS pe, CASE query_type WHEN 'factoid' THEN 0.24::DOUBLE WHEN 'explanatory' THEN 0.47 ELSE 0.46 END - CASE WHEN c1 THEN 0.06 ELSE 0 END AS ph,
+      CASE query_type WHEN 'factoid' THEN 0.48::DOUBLE WHEN 'explanatory' THEN 0.35 ELSE 0.30 END + CASE WHEN c1 THEN 0.06 ELSE 0 END - CASE WHEN c3 THEN 0.05 ELSE 0 END AS pp,
       CASE WHEN c1 THEN greatest(0.4, d0 - 0.08) ELSE d0 END AS d1, c2 FROM b)
-    SELECT q, query_type, round(greatest(e, 0) / (e + h + p), 6) AS entity, round(greatest(h, 0) / (e + h + p), 6) AS hyperedge, round(greatest(p, 0) / (e + h + p), 6) AS passage, round(least(greatest(CASE WHEN c2 THEN least(0.8, d1 + 0.05) ELSE d1 END, 0.35), 0.85), 6) AS damping FROM c
+    SELECT q, query_type, round(greatest(e, 0) / (e + h + p), 6) AS entity, round(greatest(h, 0) / (e + h + p), 6) AS hyperedge, round(greatest(p, 0) / (e + h + p), 6) AS passage,
+      round(geh / (geh + ghh + ghp + gee + gep), 6) AS gate_entity_hyperedge, round(ghh / (geh + ghh + ghp + gee + gep), 6) AS gate_hyperedge_hyperedge, round(ghp / (geh + ghh + ghp + gee + gep), 6) AS gate_hyperedge_passage,
+      round(gee / (geh + ghh + ghp + gee + gep), 6) AS gate_entity_entity, round(gep / (geh + ghh + ghp + gee + gep), 6) AS gate_entity_passage,
+      round(pe / (pe + ph + pp), 6) AS prior_entity, round(ph / (pe + ph + pp), 6) AS prior_hyperedge, round(pp / (pe + ph + pp), 6) AS prior_passage,
+      round(least(greatest(CASE WHEN c2 THEN least(0.8, d1 + 0.05) ELSE d1 END, 0.35), 0.85), 6) AS damping FROM c
 """)
 def _(t: Tables) -> DataFrame:
     i = F.col("item_id")
     cue = F.when(i % 4 == 0, "why is ").when(i % 4 == 1, "what is part of ").otherwise("")
     rows = t.benchmark.select(i.alias("q"), F.concat(cue, F.col("text")).alias("text"), (1 + (i % 7) / 7.0).alias("entity_conc"), (1 + (i % 5) / 5.0).alias("hyperedge_conc"), (1 + (i % 3) / 1.5).alias("passage_conc"))
     out = router.routed(rows)
-    return out.select("q", "query_type", *[F.round(c, 6).alias(c) for c in ("entity", "hyperedge", "passage", "damping")])
+    shares = ["entity", "hyperedge", "passage", *[f"gate_{x}" for x in router.GATES], "prior_entity", "prior_hyperedge", "prior_passage"]
+    return out.select("q", "query_type", *[F.round(c, 6).alias(c) for c in (*shares, "damping")])
 
 
 @R.add("o8_shared_fact_filter", f"""
