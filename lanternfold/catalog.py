@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lanternfold.plans import fusion_plans, graph_plans, memory_plans, surface_plans, text_plans, transition_plans, vector_plans
+from lanternfold.plans import evidence_plans, fusion_plans, graph_plans, memory_plans, surface_plans, text_plans, transition_plans, vector_plans
 from lanternfold.registry import Plan
 
 FLAGSHIP = "flagship_role_channels"
-MODULES = (text_plans, fusion_plans, vector_plans, graph_plans, memory_plans, transition_plans, surface_plans)
+MODULES = (text_plans, fusion_plans, vector_plans, graph_plans, memory_plans, transition_plans, surface_plans, evidence_plans)
 
 
 def queries() -> dict[str, Plan]:
