@@ -45,6 +45,8 @@ NOISE = re.compile(
     r"comments?|comment-?(?:list|form|section|thread)|commentlist|disqus|replies|respond|discussion|reader-?comments|responses|related|recommended|recommendations|share|sharing|social|"
     r"newsletter|subscribe|subscription|signup|login|search|searchform|widgets?|pagination|pager|copyright|legal|disclaimer|skip|skip-?link|contentinfo|complementary|toc|tags?|tag-?cloud)(?=$|[\s_-])"
 )
+#: Elements of running text: a word of their class marks them only if it is the whole class, as a topic may be named so too.
+RUNNING = frozenset("p blockquote pre li dd dt td th figcaption".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: What starts, and what can be, a holder of main text whatever its class says.
 HOLDERS = frozenset("article main".split())
@@ -85,7 +87,8 @@ def _marked_noise(name: str, attributes: str) -> tuple[bool, bool]:
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id") and name not in ("body", "html", *HOLDERS, *HEADINGS):
-            noise |= bool(NOISE.search(_CAMEL.sub("-", value).lower()))
+            plain = _CAMEL.sub("-", value).lower()
+            noise |= any(NOISE.fullmatch(x) for x in plain.split()) if name in RUNNING else bool(NOISE.search(plain))
         elif key == "role":
             noise |= value.lower() in NOISE_ROLES
         elif key == "itemprop":
@@ -199,7 +202,8 @@ def main_lines(lines: list[Line]) -> list[int]:
     n = len(lines)
     # blocks are summed over the whole page: the runs say where text is, holders only widen and clip them
     block = [sum(length[max(0, k - BLOCK_LINES) : k + BLOCK_LINES + 1]) for k in range(n)]
-    top = max(block)
+    # a line without text of its own starts no run, whatever stands next to it
+    top = max((block[k] for k in range(n) if length[k]), default=0)
     if not top:
         return []
     surge = min(SURGE_CHARS, top)
