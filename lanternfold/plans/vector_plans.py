@@ -109,7 +109,7 @@ def _(t: Tables) -> DataFrame:
 """)
 def _(t: Tables) -> DataFrame:
     u, q = units(t), asked(t)
-    scored = L.with_title(L.bm25(q, u), q, u.where("unit = 0").select("doc", "token"), L.corpus_statistics(u)[1])
+    scored = L.with_title(L.bm25(q, u), q, u.where("unit = 0").select("doc", "token"), L.query_statistics(q, u)[1])
     return top_k(scored, ["q"], [F.desc(F.round("score", 9)), "doc"], 10).select("q", "doc", F.round("score", 6).alias("score"), "rank")
 
 
@@ -119,8 +119,8 @@ EQ = f"eq AS (SELECT p_partkey AS q, unnest({TOK.format("p_name || ' ' || p_type
 
 @R.add("r8_grounded_endpoints", f"""
     WITH {EP}, {EQ}, sz AS (SELECT endpoint, count(*) AS n FROM et GROUP BY endpoint), hit AS (SELECT q, endpoint, any_value(n) AS n FROM eq JOIN et USING (token) JOIN sz USING (endpoint) GROUP BY q, endpoint HAVING count(*) = any_value(n)),
-    ins AS (SELECT DISTINCT h.q, h.endpoint FROM hit h JOIN hit w ON w.q = h.q AND w.n > h.n WHERE NOT EXISTS (SELECT 1 FROM et a WHERE a.endpoint = h.endpoint AND NOT EXISTS (SELECT 1 FROM et b WHERE b.endpoint = w.endpoint AND b.token = a.token)))
-    SELECT q, endpoint, n FROM hit WHERE NOT EXISTS (SELECT 1 FROM ins WHERE ins.q = hit.q AND ins.endpoint = hit.endpoint)
+    ins AS (SELECT h.q, h.endpoint FROM hit h JOIN et a ON a.endpoint = h.endpoint JOIN hit w ON w.q = h.q AND w.n > h.n JOIN et b ON b.endpoint = w.endpoint AND b.token = a.token GROUP BY h.q, h.endpoint, h.n, w.endpoint HAVING count(*) = h.n)
+    SELECT q, endpoint, n FROM hit WHERE (q, endpoint) NOT IN (SELECT (q, endpoint) FROM ins)
 """)
 def _(t: Tables) -> DataFrame:
     ends = t.part.select(F.lower("p_type").alias("endpoint")).union(t.part.select(F.lower("p_name"))).union(t.nation.select(F.lower("n_name"))).distinct()
