@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: A table of at most this many narrow rows may be broadcast; beyond it every caller shuffles.
 BROADCAST_ROWS = 200_000
 #: Rows and bytes of an Arrow batch, and rows whose results a Python worker holds at once: bounds of memory, not of results.
-BATCH_ROWS, BATCH_BYTES, PIECE_ROWS = 2_000, 8 << 20, 200
+BATCH_ROWS, BATCH_BYTES, PIECE_ROWS = 1_000, 2 << 20, 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
