@@ -144,18 +144,17 @@ def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """id, component (the least id): least labels of neighbours, then the label's label, until nothing changes."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct().checkpoint()
     labels = both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("label")).checkpoint()
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
         least = labels.join(near, "id").select("id", F.least("label", "near").alias("new"), "label")
         after = least.join(labels.select(F.col("id").alias("new"), F.col("label").alias("far")), "new").select("id", F.least("new", "far").alias("next"), "label").checkpoint()
         labels = after.select("id", F.col("next").alias("label"))
         if after.where("next <> label").isEmpty():
-            break
-    return labels.select("id", F.col("label").alias("component"))
+            return labels.select("id", F.col("label").alias("component"))
 
 
 def top_neighbours(edges: DataFrame, k: int) -> DataFrame:

@@ -20,4 +20,4 @@ def test_query(spark, con, name):
     if name in SQL:
         assert oracle.difference(frame, con.execute(SQL[name]).df()) == ""
     else:
-        assert len(frame) >= 0 and len(frame.columns) > 1
+        assert len(frame) > 0 and len(frame.columns) > 1 and frame.notna().any().all()
