@@ -14,8 +14,8 @@ hold one at least that the other set has among its own rarest (prefix filter on
 A key of few prefix rows pairs them. A key of many compares its sets by what they differ in from the key's pivot P: for
 D(x) = x XOR P the difference of a and b is that of D(a) and D(b), so two linked sets that are not both linked with P
 share half of the smaller D and more. What edits put in is rare, what they take out is less so, and what is P's own is
-common; in this order a prefix and position filter on D meets few pairs in a large family. No key, bucket or partner is
-capped.
+common; in this order a prefix and position filter on D meets few pairs in a large family. P itself is paired with each set
+of another component. No key, bucket or partner is capped.
 
 Skew: a task emits the parts of equal sets once, and pairs documents that share a key inside a batch with a local pivot
 at once, so that a key reaches its task with a few rows for each batch, whatever its group's size.
@@ -395,13 +395,15 @@ def _prefix_pairs(prefix: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs of sets (a, b) that ``prefix`` does not rule out."""
     side = lambda x, rows, *cols: rows.select(F.col("sig").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "label")], *cols)
     count = lambda c: F.count(F.when(F.col(c), 1))
-    pivot = F.max_by("sig", F.struct("pop", "sig"))
+    pivot = F.max_by(F.struct("sig", "label"), F.struct("pop", "sig"))
     keys = prefix.groupBy("key").agg(count("lower").alias("lowers"), count("upper").alias("uppers"), F.min("label").alias("lo"), F.max("label").alias("hi"), pivot.alias("pivot"))
     keys = keys.where("lowers > 0 and uppers > 0 and lo <> hi").withColumn("many", F.col("lowers") * F.col("uppers") > PAIRS_A_ROW * (F.col("lowers") + F.col("uppers")))
-    keyed = materialise(prefix.join(keys.select("key", "pivot", "many"), "key"), "near-keyed")
+    keyed = materialise(prefix.join(keys.select("key", F.col("pivot.sig").alias("pivot"), F.col("pivot.label").alias("label_p"), "many"), "key"), "near-keyed")
     few, many = keyed.where("not many"), keyed.where("many")
     pairs = side("a", few.where("lower"), "key").join(side("b", few.where("upper"), "key"), "key").where(_FIT).select("a", "b")
-    families = materialise(many.where("sig <> pivot").select("sig", "label", "pivot").distinct(), "near-families")
+    families = materialise(many.where("sig <> pivot").select("sig", "label", "pivot", "label_p").distinct(), "near-families")
+    # the rounds with pivots took others, so the pivot of a key here need not have met its sets
+    with_pivot = families.where("label <> label_p").select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b"))
     apart = materialise(_apart(families, sets), "near-apart")
     part = lambda x, role: apart.where(role).select(F.col("sig").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "label", "d", "left", "linked")], "at")
     # of two sets the one whose difference from the pivot is less is the small one, so the other is not linked with the pivot
@@ -409,7 +411,7 @@ def _prefix_pairs(prefix: DataFrame, sets: DataFrame) -> DataFrame:
     # what is left from here on must suffice, should this be the first that the two share
     suffices = f"2 * {100 + PERCENT} * least(left_s, left_l) >= {100 + PERCENT} * (d_s + d_l) - {100 - PERCENT} * (n_s + n_l)"
     met = part("s", "small").join(part("l", "large"), "at").where(f"{near} and {suffices}").select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(met).distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(with_pivot).union(met).distinct()
 
 
 def _differences(families: DataFrame, sets: DataFrame) -> DataFrame:

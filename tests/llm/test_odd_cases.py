@@ -304,3 +304,21 @@ def test_terms_far_from_the_entity_and_short_ones_disclose(spark):
     for i in range(4):
         assert {text[i][int(a) : int(b)] for k, a, b in (x.split(":") for x in got[i]) if k == "term"} == {"kim", "zorblatt"}
     assert all(got[i] == [""] for i, _ in rows[4:])
+
+
+def test_the_last_round_alone_decides_pairs_with_a_keys_pivot(spark, monkeypatch):
+    import random
+
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 40):  # few of them are linked with the base, and of the others none with one another
+        text = list(base)
+        for k in range(1 + 2 * (i > 3)):
+            text[rng.randrange(20 * k, 20 * k + 20)] = f"e{i}x{k}"
+        rows.append((i, " ".join(text)))
+    monkeypatch.setattr(jaccard_join, "MOST_PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(jaccard_join, "PAIRS_A_ROW", 0)  # every key goes by differences
+    got = {r["id"]: (r["n"], r["component"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert len({c for _, c in got.values()}) > 30 and sum(c == 0 for _, c in got.values()) > 2
