@@ -322,3 +322,27 @@ def test_the_last_round_alone_decides_pairs_with_a_keys_pivot(spark, monkeypatch
     got = {r["id"]: (r["n"], r["component"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_components(rows)
     assert len({c for _, c in got.values()}) > 30 and sum(c == 0 for _, c in got.values()) > 2
+
+
+def test_keys_of_connected_pivots_have_one(spark, monkeypatch):
+    import numpy as np
+
+    part = lambda a, b: list(range(a, b))
+    sets = {1: part(0, 100), 2: part(1, 101)} | {10 + i: part(0, 98) + [1000 + i, 2000 + i] for i in range(12)}
+    rows = [(sig, 100, 1000 if sig < 3 else 1, 1 if sig < 3 else sig, key, True, True) for sig in sets for key in (7, 8) if sig != (2, 1)[key - 7]]
+    prefix = spark.createDataFrame(rows, "sig long, n long, pop long, label long, key long, lower boolean, upper boolean")
+    held = spark.createDataFrame([(sig, bytearray(np.array(s, np.uint64).tobytes())) for sig, s in sets.items()], "sig long, hashes binary")
+    families, apart = [], jaccard_join._apart
+    monkeypatch.setattr(jaccard_join, "_apart", lambda f, s: families.append(f) or apart(f, s))
+    pairs = {tuple(r) for r in jaccard_join._prefix_pairs(prefix, held).collect()}
+    assert families[0].where("sig >= 10").count() == 12  # not one for each of the two keys
+    assert {(2, 10 + i) for i in range(12)} <= pairs
+
+
+def test_one_of_each_family_stays_by_the_last_round_alone(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(f"e{i}" if i and k == 4 * i else w for k, w in enumerate(base))) for i in range(14)]
+    monkeypatch.setattr(jaccard_join, "MOST_PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(jaccard_join, "PAIRS_A_ROW", 0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in jaccard_join.keep_one_of_each(docs).collect()] == [0]
