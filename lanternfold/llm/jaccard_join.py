@@ -11,7 +11,8 @@ Completeness without pairs inside large groups: each key has a pivot, the set th
 the first rounds verify each document with the pivot that it meets most often. Connected documents then count as one; the
 last round looks at keys that still hold two components. Of r such keys of which T must be equal, the r - T + 1 rarest
 hold one at least that the other set has among its own rarest (prefix filter on both sides), and only these are joined.
-A key of few prefix rows pairs them. A key of many compares its sets by what they differ in from the key's pivot P: for
+A key of few prefix rows pairs them. A key of many compares its sets by what they differ in from a pivot P, one for all keys
+whose most popular sets are connected, so that a set has few pivots however many such keys it has: for
 D(x) = x XOR P the difference of a and b is that of D(a) and D(b), so two linked sets that are not both linked with P
 share half of the smaller D and more. What edits put in is rare, what they take out is less so, and what is P's own is
 common; in this order a prefix and position filter on D meets few pairs in a large family. P itself is paired with each set
@@ -395,10 +396,13 @@ def _prefix_pairs(prefix: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs of sets (a, b) that ``prefix`` does not rule out."""
     side = lambda x, rows, *cols: rows.select(F.col("sig").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "label")], *cols)
     count = lambda c: F.count(F.when(F.col(c), 1))
-    pivot = F.max_by(F.struct("sig", "label"), F.struct("pop", "sig"))
+    pivot = F.max_by(F.struct("sig", "label", "pop"), F.struct("pop", "sig"))
     keys = prefix.groupBy("key").agg(count("lower").alias("lowers"), count("upper").alias("uppers"), F.min("label").alias("lo"), F.max("label").alias("hi"), pivot.alias("pivot"))
     keys = keys.where("lowers > 0 and uppers > 0 and lo <> hi").withColumn("many", F.col("lowers") * F.col("uppers") > PAIRS_A_ROW * (F.col("lowers") + F.col("uppers")))
-    keyed = materialise(prefix.join(keys.select("key", F.col("pivot.sig").alias("pivot"), F.col("pivot.label").alias("label_p"), "many"), "key"), "near-keyed")
+    keys = materialise(keys.select("key", "many", F.col("pivot.sig").alias("sig_p"), F.col("pivot.label").alias("label_p"), F.col("pivot.pop").alias("pop_p")), "near-keys")
+    # any set can be the pivot, so the keys whose pivots are connected have one, the most popular of them: else a set would have a pivot for each of its keys
+    one = keys.where("many").groupBy("label_p").agg(F.max_by("sig_p", F.struct("pop_p", "sig_p")).alias("pivot"))
+    keyed = materialise(prefix.join(keys.join(one, "label_p", "left").select("key", "pivot", "label_p", "many"), "key"), "near-keyed")
     few, many = keyed.where("not many"), keyed.where("many")
     pairs = side("a", few.where("lower"), "key").join(side("b", few.where("upper"), "key"), "key").where(_FIT).select("a", "b")
     families = materialise(many.where("sig <> pivot").select("sig", "label", "pivot", "label_p").distinct(), "near-families")
