@@ -46,3 +46,37 @@ def test_no_join_has_all_pairs_of_facts(spark):
     plan = M.bridges(spark.createDataFrame(facts, "fact string, passage string, r string, s string, o string"), 60, 6)
     assert plan.count() == sum(39 - k for k in range(6))
     assert "FullOuter" not in plan._jdf.queryExecution().analyzed().toString()
+
+
+SCHEMA = "fact string, passage string, r string, s string, o string"
+
+
+def mixed_facts(rng):
+    """Passages of their own, with entities of one passage and hubs, and passages that share facts and entities; some facts repeat."""
+    rows = []
+    for p in range(25):
+        own = p % 3 > 0
+        for _ in range(rng.randint(1, 11)):
+            s = f"own{p}-{rng.randrange(3)}" if own else f"e{rng.randrange(12)}"
+            o = rng.choice([f"hub{rng.randrange(2)}", f"own{p}-{rng.randrange(3)}", None] if own else [f"hub{rng.randrange(2)}", f"e{rng.randrange(12)}", None])
+            rows.append((f"p{p}", rng.choice("rt"), s, o))
+    rows += [(f"big{k % 2}", "r", f"big{k % 2}-{k % 5}", f"x{k}") for k in range(40)] + [(None, "r", "e1", "own1-0"), ("alone", "r", "alone", "hub0")]
+    rows += rng.sample(rows, 15) + [("p90", *x[1:]) for x in rng.sample(rows, 5)]
+    return [(f"{s}|{r}|{o}", p, r, s, o) for p, r, s, o in rows]
+
+
+def test_units_and_joins_give_the_bridges_of_all_pairs(spark):
+    rng = random.Random(11)
+    for per_fact in (2, 5, 40):
+        rows = mixed_facts(rng)
+        found = M.Bridges(spark.createDataFrame(rows, SCHEMA), 12, per_fact)
+        assert not found.none_open and {r["home"] for r in found.units.collect()} - {r["home"] for r in found.open.collect()}
+        assert sorted(map(tuple, found.paths().collect())) == brute(rows, 12, per_fact)
+
+
+def test_a_unit_takes_one_shuffle(spark):
+    rows = [(f"{p}-{k}", f"p{p}", "r", f"s{p}", f"o{k}") for p in range(20) for k in range(14)]
+    paths = M.bridges(spark.createDataFrame(rows, SCHEMA), 15, 6)
+    plan = paths._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Aggregate" not in plan and "Window" not in plan
+    assert sorted(map(tuple, paths.collect())) == brute(rows, 15, 6)
