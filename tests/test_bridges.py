@@ -80,3 +80,9 @@ def test_a_unit_takes_one_shuffle(spark):
     plan = paths._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1 and "Aggregate" not in plan and "Window" not in plan
     assert sorted(map(tuple, paths.collect())) == brute(rows, 15, 6)
+
+
+def test_membership_of_units_is_that_of_the_joins(spark):
+    facts = spark.createDataFrame(mixed_facts(random.Random(13)), SCHEMA)
+    found = M.Bridges(facts, 12, 4)
+    assert sorted(map(tuple, found.trail_membership(3, 6).collect())) == sorted(map(tuple, M.trail_membership(M.trails(found.paths(), 3, 6), facts).collect()))
