@@ -2,6 +2,7 @@
 
 import random
 
+from lanternfold.operators import channels as C
 from lanternfold.operators import memory as M
 
 
@@ -86,3 +87,17 @@ def test_membership_of_units_is_that_of_the_joins(spark):
     facts = spark.createDataFrame(mixed_facts(random.Random(13)), SCHEMA)
     found = M.Bridges(facts, 12, 4)
     assert sorted(map(tuple, found.trail_membership(3, 6).collect())) == sorted(map(tuple, M.trail_membership(M.trails(found.paths(), 3, 6), facts).collect()))
+
+
+def asked(spark, rows):
+    """Two questions with six facts each, of units and of others."""
+    ids = sorted({x[0] for x in rows})
+    return spark.createDataFrame([(q, fact, k) for q in (0, 1) for k, fact in enumerate(random.Random(q).sample(ids, 6))], "q long, fact string, frank long")
+
+
+def test_bridges_from_wanted_facts_are_whole(spark):
+    rows = mixed_facts(random.Random(15))
+    facts, act = spark.createDataFrame(rows, SCHEMA), asked(spark, rows)
+    some, every = M.Bridges(facts, 12, 4, act.select("fact")), M.Bridges(facts, 12, 4)
+    assert 0 < some.units.count() < every.units.count()
+    assert C.bridge_path(act, some.paths(), facts, 20).collect() == C.bridge_path(act, every.paths(), facts, 20).collect() != []
