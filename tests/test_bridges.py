@@ -101,3 +101,11 @@ def test_bridges_from_wanted_facts_are_whole(spark):
     some, every = M.Bridges(facts, 12, 4, act.select("fact")), M.Bridges(facts, 12, 4)
     assert 0 < some.units.count() < every.units.count()
     assert C.bridge_path(act, some.paths(), facts, 20).collect() == C.bridge_path(act, every.paths(), facts, 20).collect() != []
+
+
+def test_trails_of_units_are_those_of_the_joins(spark):
+    rng = random.Random(12)
+    for per_fact, neighbours, per_start in ((3, 4, 8), (40, 2, 3)):
+        facts = spark.createDataFrame(mixed_facts(rng), SCHEMA)
+        found = M.Bridges(facts, 12, per_fact)
+        assert sorted(map(tuple, found.trails(neighbours, per_start).collect())) == sorted(map(tuple, M.trails(M.bridges(facts, 12, per_fact), neighbours, per_start).collect()))
