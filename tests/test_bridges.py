@@ -109,3 +109,10 @@ def test_trails_of_units_are_those_of_the_joins(spark):
         facts = spark.createDataFrame(mixed_facts(rng), SCHEMA)
         found = M.Bridges(facts, 12, per_fact)
         assert sorted(map(tuple, found.trails(neighbours, per_start).collect())) == sorted(map(tuple, M.trails(M.bridges(facts, 12, per_fact), neighbours, per_start).collect()))
+
+
+def test_trails_from_wanted_facts_are_whole(spark):
+    rows = mixed_facts(random.Random(16))
+    facts, act = spark.createDataFrame(rows, SCHEMA), asked(spark, rows)
+    some, every = M.Bridges(facts, 12, 4, act.select("fact")), M.Bridges(facts, 12, 4)
+    assert C.support_trail(act, some.trails(), facts, 20).collect() == C.support_trail(act, every.trails(), facts, 20).collect() != []
