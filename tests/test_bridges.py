@@ -116,3 +116,9 @@ def test_trails_from_wanted_facts_are_whole(spark):
     facts, act = spark.createDataFrame(rows, SCHEMA), asked(spark, rows)
     some, every = M.Bridges(facts, 12, 4, act.select("fact")), M.Bridges(facts, 12, 4)
     assert C.support_trail(act, some.trails(), facts, 20).collect() == C.support_trail(act, every.trails(), facts, 20).collect() != []
+
+
+def test_endpoints_of_units_are_those_of_the_joins(spark):
+    facts = spark.createDataFrame(mixed_facts(random.Random(14)), SCHEMA)
+    found = M.Bridges(facts, 12, 4)
+    assert sorted(map(tuple, found.trail_endpoints(3, 6).collect())) == sorted(map(tuple, M.trail_endpoints(M.trails(found.paths(), 3, 6)).collect()))
